@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe_roundtrip
+from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .minhash import op4_near_dedup
 from .packing import op9_packing
 from .token_files import op6_token_files
 
@@ -14,10 +16,12 @@ from .token_files import op6_token_files
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_roundtrip": op1_bpe_roundtrip,
+        "op4_near_dedup": op4_near_dedup,
         "op6_token_files": op6_token_files,
+        "op8_exact_dedup": op8_exact_dedup,
         "op9_packing": op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_exact_dedup": OP8_SQL}
