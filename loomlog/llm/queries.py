@@ -10,6 +10,7 @@ from .bpe import op1_bpe_roundtrip
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .minhash import op4_near_dedup
 from .packing import op9_packing
+from .substring_dedup import op7_substring_dedup
 from .token_files import op6_token_files
 
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe_roundtrip": op1_bpe_roundtrip,
         "op4_near_dedup": op4_near_dedup,
         "op6_token_files": op6_token_files,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_packing": op9_packing,
     }
