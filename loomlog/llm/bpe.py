@@ -2,12 +2,12 @@
 
 **Encoding.** A token sequence is the BPE encoding of its bytes exactly if each pair of neighbours
 is: merging the bytes of ``t1 t2`` alone must give ``[t1, t2]`` again. So BPE is a
-non-deterministic transducer whose states are (last token, node in the vocabulary's byte trie):
-reading a byte walks down the trie, and a node that ends a token may return to the root if the
-token may follow the last one. Just one path survives a whole piece. The transducer is
-determinised lazily: a state is the ordered tuple of live hypotheses with the output each still
-owes; what all hypotheses agree on is emitted at once, so the lookahead is bounded by the longest
-token. States and arcs are made when first met and kept in tables of bounded size.
+non-deterministic transducer: reading a byte walks down the trie of the vocabulary's bytes, and a
+node that ends a token may return to the root if the token may follow the one before. It is
+determinised lazily: the set of live trie nodes is given by the longest of their paths, the state,
+whose arcs and ends are made when first met. A register for each live border holds the one token
+that may end there (each prefix has one encoding), and what all live borders have behind them in
+common is emitted: lookahead is bounded by the longest token.
 
 **Decoding.** An incremental UTF-8 machine whose state is the unfinished sequence (three bytes at
 most); its arcs are made per (state, token) when first met. Malformed bytes become U+FFFD, as the
@@ -57,16 +57,14 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 30) -
 
 
 class MergeTransducer:
-    """The transducer of one vocabulary. ``max_states`` and ``max_pieces`` bound its tables."""
+    """The transducer of one vocabulary. ``max_pieces`` and ``max_pairs`` bound its tables; its
+    states are at most the nodes of the vocabulary's trie."""
 
-    START = ((), -1, 0)
-
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_pieces: int = 400_000):
-        self.ranks, self.max_states, self.max_pieces = ranks, max_states, max_pieces
+    def __init__(self, ranks: dict[bytes, int], max_pieces: int = 200_000, max_pairs: int = 400_000):
+        self.ranks, self.max_pieces, self.max_pairs = ranks, max_pieces, max_pairs
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.child: dict[int, int] = {}
-        self.token = [-1]
-        self.inner = [False]
+        self.token, self.above, self.depth = [-1], [0], [0]  # of trie nodes; above: parent << 8 | byte
         for piece, rank in ranks.items():
             node = 0
             for byte in piece:
@@ -74,19 +72,49 @@ class MergeTransducer:
                 if (following := self.child.get(key)) is None:
                     following = self.child[key] = len(self.token)
                     self.token.append(-1)
-                    self.inner.append(False)
-                    self.inner[node] = True
+                    self.above.append(key)
+                    self.depth.append(self.depth[node] + 1)
                 node = following
             self.token[node] = rank
+        self.arcs: dict[int, int] = {}
+        self.shorter: dict[int, int] = {0: 0}
+        self.ends: dict[int, tuple[tuple[int, int], ...]] = {0: ()}
         self.parts: dict[int, tuple[int, int]] = {}
         self.follows: dict[int, bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self._forget()
 
-    def _forget(self) -> None:
-        self.states = {(self.START,): 0}
-        self.hypotheses = [(self.START,)]
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+    # the deterministic walk: a state is the longest suffix of the input that begins a token
+
+    def _suffix(self, node: int) -> int:
+        """The longest proper suffix of a trie path that is one, too."""
+        found = self.shorter.get(node)
+        if found is None:
+            parent, byte = self.above[node] >> 8, self.above[node] & 255
+            found = self.shorter[node] = self._arc(self._suffix(parent), byte) if parent else 0
+        return found
+
+    def _arc(self, state: int, byte: int) -> int:
+        key = state << 8 | byte
+        found = self.arcs.get(key)
+        if found is None:
+            found = self.child.get(key)
+            if found is None:
+                found = self._arc(self._suffix(state), byte) if state else 0
+            self.arcs[key] = found
+            if found not in self.ends:
+                self._make_ends(found)
+        return found
+
+    def _make_ends(self, state: int) -> tuple[tuple[int, int], ...]:
+        """The tokens that may end here, longest first, with their lengths."""
+        found = self.ends.get(state)
+        if found is None:
+            token, rest = self.token[state], self._make_ends(self._suffix(state))
+            own = ((token, self.depth[state]),) if token >= 0 and self._may_follow(-1, token) else ()
+            found = self.ends[state] = own + rest
+        return found
+
+    # which token may follow which
 
     def _halves(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge makes ``token``; a token that no merge makes is its own halves."""
@@ -102,21 +130,19 @@ class MergeTransducer:
         return found
 
     def _may_follow(self, last: int, token: int) -> bool:
-        """Whether merging the bytes of both tokens gives both back: undo the merges beside the
-        border, the latest first; no pair across it may merge before the one undone."""
+        """Whether merging the bytes of both tokens gives both back; a token alone must be made by
+        merges at all (``last`` is -1)."""
         if last < 0:
             return len(self.bytes_of[token]) == 1 or self._halves(token)[0] != token
-        key = last << 24 | token
-        found = self.follows.get(key)
-        if found is None:
-            if len(self.follows) > 4 * self.max_states:
-                self.follows.clear()
-            found = self.follows[key] = self._border_holds(last, token)
+        found = self._border_holds(last, token)
+        if len(self.follows) > self.max_pairs:
+            self.follows.clear()
+        self.follows[last << 24 | token] = found
         return found
 
     def _border_holds(self, left: int, right: int) -> bool:
-        if not (self._may_follow(-1, left) and self._may_follow(-1, right)):
-            return False
+        """Undo the merges beside the border, the latest first; no pair across it may merge before
+        the one undone."""
         bytes_of, ranks = self.bytes_of, self.ranks
         undone = 1 << 30
         while True:
@@ -132,47 +158,63 @@ class MergeTransducer:
             else:
                 undone, right = right + 1, self._halves(right)[0]
 
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Make the arc that ``byte`` takes from ``state``."""
-        alive = []
-        for owed, last, node in self.hypotheses[state]:
-            node = self.child.get(node << 8 | byte)
-            if node is None:
-                continue
-            if self.inner[node]:
-                alive.append((owed, last, node))
-            token = self.token[node]
-            if token >= 0 and self._may_follow(last, token):
-                alive.append(((*owed, token), token, 0))
-        shared = min((h[0] for h in alive), key=len)
-        while any(h[0][: len(shared)] != shared for h in alive):
-            shared = shared[:-1]
-        target = tuple((h[0][len(shared) :], h[1], h[2]) for h in alive)
-        number = self.states.get(target)
-        if number is None:
-            number = self.states[target] = len(self.hypotheses)
-            self.hypotheses.append(target)
-        arc = self.arcs[state << 8 | byte] = (number, shared)
-        return arc
-
-    def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
-        """Tokens of one piece that comes in chunks, each as soon as it is certain."""
-        if len(self.hypotheses) > self.max_states:
-            self._forget()
-        state, arcs = 0, self.arcs
+    def stream(self, chunks: Iterable[bytes], lookahead: int = 512) -> Iterator[int]:
+        """Tokens of one piece that comes in chunks; at most about ``lookahead`` bytes, and those
+        a token under way can still reach, wait undecided."""
+        arcs, ends, follows, bytes_of = self.arcs, self.ends, self.follows, self.bytes_of
+        state, last = 0, [-1]  # last[i]: the token that ends after i of the bytes that wait
         for chunk in chunks:
             for byte in chunk:
-                state, out = arcs.get(state << 8 | byte) or self._arc(state, byte)
-                if out:
-                    yield from out
-        for owed, _, node in self.hypotheses[state]:
-            if node == 0:
-                yield from owed
+                state = arcs.get(state << 8 | byte) or self._arc(state, byte)
+                at = len(last)
+                for token, length in ends[state]:
+                    before = last[at - length]
+                    may = before < 0 or follows.get(before << 24 | token)
+                    if may or may is None and self._may_follow(before, token):
+                        last.append(token)
+                        break
+                if at >= lookahead + self.depth[state] and at % lookahead == 0:
+                    settled = self._common(last, self.depth[state])
+                    yield from self._spelled(last, settled)
+                    del last[:settled]
+        yield from self._spelled(last, len(last) - 1)
+
+    def _short(self, data: bytes) -> tuple[int, ...]:
+        """:meth:`stream` for a piece that needs no emission under way."""
+        arcs, ends, follows = self.arcs.get, self.ends, self.follows.get
+        state, last, at = 0, [-1], 0
+        for byte in data:
+            state = arcs(state << 8 | byte) or self._arc(state, byte)
+            for token, length in ends[state]:
+                before = last[at + 1 - length]
+                may = before < 0 or follows(before << 24 | token)
+                if may or may is None and self._may_follow(before, token):
+                    last.append(token)
+                    break
+            at += 1
+        return tuple(self._spelled(last, at))
+
+    def _common(self, last: list[int], depth: int) -> int:
+        """The last border that every live hypothesis passes."""
+        at = len(last) - 1
+        borders = set(range(at - depth, at + 1))
+        while len(borders) > 1:
+            top = max(borders)
+            borders.remove(top)
+            borders.add(top - len(self.bytes_of[last[top]]))
+        return borders.pop()
+
+    def _spelled(self, last: list[int], at: int) -> list[int]:
+        out = []
+        while at > 0:
+            out.append(last[at])
+            at -= len(self.bytes_of[last[at]])
+        return out[::-1]
 
     def piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         whole = self.ranks.get(data)
-        out = (whole,) if whole is not None else tuple(self.stream((data,)))
+        out = (whole,) if whole is not None else self._short(data) if len(data) <= 256 else tuple(self.stream((data,)))
         if len(self.pieces) < self.max_pieces and len(piece) <= 64:
             self.pieces[piece] = out
         return out
@@ -193,6 +235,9 @@ class Utf8Machine:
         self.bytes_of, self.max_arcs = bytes_of, max_arcs
         self.whole: dict[int, str] = {}  # tokens that begin and end between characters
         for token, data in bytes_of.items():
+            if data.isascii():
+                self.whole[token] = data.decode()
+                continue
             rest, text = self.advance(b"", data)
             if not rest and "�" not in text:
                 self.whole[token] = text
@@ -271,19 +316,29 @@ def _with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*(f for f in schema.fields if f.name != name), T.StructField(name, kind)])
 
 
-def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Add ``ids_col``: the BPE ids of ``text_col``, each match of ``pattern`` encoded separately."""
+def _lists(ids: list[list[int]]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(chain([0], _running(ids)), pa.int32()), pa.array(chain.from_iterable(ids), pa.int32()))
+
+
+def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str | None = None) -> DataFrame:
+    """Add ``ids_col``: the BPE ids of ``text_col``, each match of ``pattern`` encoded separately.
+
+    With ``out_col`` the ids are decoded again in the same pass, which saves a trip of the data.
+    """
     ranks = _broadcast_ranks(df, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, split = _machine("encode", ranks), regex.compile(pattern).findall
         for batch in batches:
             ids = [machine.encode(split(text or "")) for text in batch.column(text_col).to_pylist()]
-            offsets = pa.array(chain([0], _running(ids)), pa.int32())
-            column = pa.ListArray.from_arrays(offsets, pa.array(chain.from_iterable(ids), pa.int32()))
-            yield _replaced(batch, ids_col, column)
+            out = _replaced(batch, ids_col, _lists(ids))
+            if out_col:
+                decode = _machine("decode", ranks).decode
+                out = _replaced(out, out_col, pa.array([decode(x) for x in ids], pa.string()))
+            yield out
 
-    return df.mapInArrow(run, _with(df.schema, ids_col, T.ArrayType(T.IntegerType())))
+    schema = _with(df.schema, ids_col, T.ArrayType(T.IntegerType()))
+    return df.mapInArrow(run, _with(schema, out_col, T.StringType()) if out_col else schema)
 
 
 def bpe_decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -293,10 +348,7 @@ def bpe_decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine("decode", ranks)
         for batch in batches:
-            lists = batch.column(ids_col)
-            flat = lists.values.to_numpy(zero_copy_only=False) if len(lists.values) else []
-            ends = lists.offsets.to_numpy()
-            texts = [machine.decode(flat[a:b].tolist() if b > a else []) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            texts = [machine.decode(x or []) for x in batch.column(ids_col).to_pylist()]
             yield _replaced(batch, out_col, pa.array(texts, pa.string()))
 
     return df.mapInArrow(run, _with(df.schema, out_col, T.StringType()))
@@ -322,8 +374,7 @@ def op1_bpe_roundtrip(spark, sf_dir: str, ranks_path: str | None = None) -> Data
 
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", text_of("text").alias("text"))
-    ids = bpe_encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids")
-    out = bpe_decode(ids, path)
+    out = bpe_encode(docs, path, public_tokenizers.PATTERN, out_col="decoded")
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
