@@ -7,16 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe_roundtrip
+from .chat_format import OP2_SQL, op2_chat_format
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .minhash import op4_near_dedup
 from .packing import op9_packing
 from .substring_dedup import op7_substring_dedup
 from .token_files import op6_token_files
 
+from .toxicity import op3_toxicity
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_roundtrip": op1_bpe_roundtrip,
+        "op2_chat_format": op2_chat_format,
+        "op3_toxicity": op3_toxicity,
         "op4_near_dedup": op4_near_dedup,
         "op6_token_files": op6_token_files,
         "op7_substring_dedup": op7_substring_dedup,
@@ -26,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op2_chat_format": OP2_SQL, "op8_exact_dedup": OP8_SQL}
