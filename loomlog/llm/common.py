@@ -53,3 +53,8 @@ def partitions(spark: SparkSession) -> int:
 def text_of(column: Column | str) -> Column:
     """The text of a document; null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def merge_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two sides that both grow with the corpus: neither is ever broadcast, at any size."""
+    return left.join(right.hint("merge"), on, how)

@@ -35,14 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import durable, partitions, read_table, text_of
+from .common import durable, merge_join, partitions, read_table, text_of
 from .components import connected_components
 from .word_hash import WordHasher, mix
 
 HOT_SHARE = 1 / 1024
 SALTS = 64
 #: Shingles in a block of the second comparison, on average.
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 100_000
 
 
 def bands_for(similarity: float, miss: float = 1e-6, most_bins: int = 208) -> tuple[int, int]:
@@ -252,7 +252,7 @@ def near_dedup(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # coarse groups: the graph of buckets
     bucketed = durable(classes.select("doc_id", F.explode("keys").alias("key")), "bucketed")
     buckets = bucketed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
-    tied = bucketed.join(durable(buckets, "buckets"), "key").groupBy("doc_id", "first").agg(F.sum("n").alias("n"))
+    tied = merge_join(bucketed, durable(buckets, "buckets"), "key").groupBy("doc_id", "first").agg(F.sum("n").alias("n"))
     tied = durable(tied, "tied")
     coarse = durable(connected_components(tied.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))), "coarse")
     degree = tied.groupBy("doc_id").agg(F.sum("n").alias("n")).withColumnRenamed("doc_id", "node")
@@ -262,7 +262,7 @@ def near_dedup(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     labelled = durable(coarse.join(groups, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("coarse"), "pivot", "members"), "labelled")
 
     # a row for each candidate with its text
-    texts = docs.join(labelled.drop("members"), "doc_id")
+    texts = merge_join(docs, labelled.drop("members"), "doc_id")
     texts = durable(texts.dropDuplicates(["doc_id"]) if _repeats(sketched) else texts, "texts")
     least = max(1000, int(sketched.count() * HOT_SHARE))
     hot = {r.component: r.pivot for r in groups.where(F.col("members") > least).collect()}  # fewer than 1 / HOT_SHARE
@@ -273,13 +273,13 @@ def near_dedup(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK_SHINGLES)).cast("int")
     left = durable(left.where("n > 2 and open > 0").select("coarse", blocks("open_size").alias("q_blocks"), blocks("all_size").alias("m_blocks")), "left")
     state = durable(first.join(left, "coarse").select("doc_id", "q_blocks", "m_blocks", (~F.col("linked")).alias("unlinked"), F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("doc_id")).alias("label")), "state")
-    more = durable(_among_rest(texts.join(state, "doc_id"), width, percent), "more-links")
+    more = durable(_among_rest(merge_join(texts, state, "doc_id"), width, percent), "more-links")
 
     fine = durable(connected_components(links.unionByName(more)), "components")
     of_class = classes.select("digest", F.col("doc_id").alias("node")).join(fine, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     of_class = durable(of_class, "of-class")
     alone = sketched.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    tied_rows = sketched.where("doc_id is not null").drop("keys").join(of_class, "digest").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    tied_rows = merge_join(sketched.where("doc_id is not null").drop("keys"), of_class, "digest").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     return tied_rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
