@@ -133,17 +133,19 @@ def factors_of(copies: list[tuple[int, int, int]], width: int) -> list[tuple[int
     return [tuple(x) for x in out]
 
 
-def substring_dedup(df: DataFrame, width: int = 50, gram: int = GRAM) -> DataFrame:
+def substring_dedup(df: DataFrame, width: int = 50, gram: int = GRAM, carry: bool = False) -> DataFrame:
     """Per row of ``df`` (doc_id, text): doc_id, n_words, n_removed, factors, kept (the text left).
 
     ``factors`` are (start, n_words, source) in words of the document; every word of a factor is
-    removed and the words kept are joined by one space.
+    removed and the words kept are joined by one space. With ``carry``, ``row`` has the other columns,
+    and ``kept`` is the text as it was where nothing is removed.
     """
     spark = df.sparkSession
     ship_package(spark)
-    docs = df.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
-    docs = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
-    blocks = durable(_blocks(docs.where("doc_id is not null"), width, gram), "blocks")
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != "text")) if carry else F.lit(None).cast("boolean")
+    docs = df.select(F.col("doc_id").cast("long"), text_of("text").alias("text"), row.alias("row"))
+    docs = docs.withColumn("tid", F.xxhash64("text"))
+    blocks = durable(_blocks(docs.where("doc_id is not null").select("doc_id", "tid", "text"), width, gram), "blocks")
 
     # anchors that two documents share, and whether their blocks differ
     anchors = blocks.groupBy("anchor").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("content").alias("c0"), F.max("content").alias("c1"))
@@ -161,16 +163,17 @@ def substring_dedup(df: DataFrame, width: int = 50, gram: int = GRAM) -> DataFra
     more = merge_join(windows, durable(known, "known-windows"), "window").where("source < doc_id").select("doc_id", "tid", "first", F.lit(1).alias("n"), "source")
 
     cuts = durable(copies.unionByName(more).groupBy("doc_id", "tid").agg(F.collect_list(F.struct("first", "n", "source")).alias("copies")), "copies")
-    return _cut(merge_join(docs, cuts, ["doc_id", "tid"], "left").select("doc_id", "text", "copies"), width)
+    out = _cut(merge_join(docs, cuts, ["doc_id", "tid"], "left").select("doc_id", "text", "copies", "row"), width, reflow=not carry)
+    return out if carry else out.drop("row")
 
 
-def _cut(rows: DataFrame, width: int) -> DataFrame:
+def _cut(rows: DataFrame, width: int, reflow: bool = True) -> DataFrame:
     factor = pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("source", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, counts, removed, factors, kept = [], [], [], [], []
-            for doc, text, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, text, copies in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
                 words = text.encode().split()
                 found = factors_of([(c["first"], c["n"], c["source"]) for c in copies or ()], width)
                 ids.append(doc)
@@ -183,10 +186,11 @@ def _cut(rows: DataFrame, width: int) -> DataFrame:
                 left += words[end:]
                 removed.append(len(words) - len(left))
                 factors.append([{"start": s, "n_words": n, "source": d} for s, n, d in found])
-                kept.append(b" ".join(left).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(factors, factor), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "factors", "kept"])
+                kept.append(b" ".join(left).decode() if found or reflow else text)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(factors, factor), pa.array(kept, pa.string()), batch.column(3)], ["doc_id", "n_words", "n_removed", "factors", "kept", "row"])
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, factors array<struct<start int, n_words int, source long>>, kept string")
+    names = "doc_id long, n_words long, n_removed long, factors array<struct<start: int, n_words: int, source: long>>, kept string"
+    return rows.mapInArrow(run, f"{names}, row {rows.schema['row'].dataType.simpleString()}")
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -321,6 +321,21 @@ def tag_toxicity(df: DataFrame, model: Field) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, score double, spans array<struct<start int, end int, marginal double>>")
 
 
+def reject_toxic(df: DataFrame, model: Field, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``df`` whose text scores below ``threshold``, unchanged."""
+    spark = df.sparkSession
+    ship_package(spark)
+    sent = spark.sparkContext.broadcast(model)
+    at = df.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(*model.evidence(text or "")[:2]) < threshold for text in batch.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op3_toxicity(spark, sf_dir: str, threshold: float = 0.3) -> DataFrame:
     """Score every whole text of ``documents``."""
     docs = read_table(spark, sf_dir, "documents")
