@@ -9,7 +9,7 @@ from .. import model
 from ..functions.text import quarter_tokens, token_estimate
 from ..model import tokens_sql
 from ..operators import blocks as B
-from ..operators.messages import assign_refs
+from ..operators.messages import assign_refs as number_refs
 from ..registry import query
 
 WITH = f"WITH {model.SQL}"
@@ -166,8 +166,8 @@ def block_snapshots(spark, sf_dir):
 
 
 @query(f"{WITH} SELECT session_id, id, 'm' || lpad(CAST(row_number() OVER (PARTITION BY session_id ORDER BY seq, id) AS VARCHAR), 5, '0') AS ref FROM core")
-def assign_message_refs(spark, sf_dir):
-    return assign_refs(model.core(spark, sf_dir)).select("session_id", "id", "ref")
+def assign_refs(spark, sf_dir):
+    return number_refs(model.core(spark, sf_dir)).select("session_id", "id", "ref")
 
 
 @query(f"{WITH} SELECT session_id, arg_max(id, seq) AS id FROM core WHERE role = 'user' GROUP BY session_id")

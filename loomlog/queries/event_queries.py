@@ -20,7 +20,10 @@ def base(spark, sf_dir):
 def lines(spark, sf_dir):
     """(run_id, ts, event_id, line): deltas, thinking, snapshots of tool output, ends; some lines are
     broken and some of unknown type."""
-    rows = base(spark, sf_dir)
+    return lines_of(base(spark, sf_dir))
+
+
+def lines_of(rows):
     j = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
     k, id = F.col("k"), F.col("event_id")
     update = '{"type":"message_update","assistantMessageEvent":{"type":"'

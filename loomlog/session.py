@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -40,3 +41,10 @@ def ship_package(spark: SparkSession) -> None:
             z.write(file, file.relative_to(root.parent))
     context.addPyFile(path)
     _shipped.add(context.applicationId)
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path that all executors share: below ``spark.checkpoint.dir``, or a local folder where
+    that is unset, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomlog-")
+    return f"{base.rstrip('/')}/loomlog-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
