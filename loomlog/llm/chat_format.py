@@ -82,7 +82,7 @@ LAYOUTS = (
     Layout("prompt_chosen", ("prompt", "chosen"), _pair("prompt", "chosen")),
 )
 #: Turns as rows need a grouping before they are turns; see :func:`turns_of_rows`.
-TURN_ROWS = ("conv_id", "turn", "role", "text")
+TURN_ROWS = ("turn", "role", "text")
 
 
 def _hash(paths) -> str:
@@ -105,7 +105,14 @@ def field_paths(schema: T.DataType, prefix: str = "") -> set[str]:
 
 
 def fingerprint(schema: T.StructType) -> str:
-    return _hash(field_paths(schema) & KNOWN)
+    """The hash of the paths that layouts know; where no layout has just those, since a foreign
+    column is named like one, of the largest layout that the schema has."""
+    paths = field_paths(schema)
+    found = _hash(paths & KNOWN)
+    if found in BY_PRINT or found == TURN_ROWS_PRINT:
+        return found
+    whole = [x for x in (*(layout.paths for layout in LAYOUTS), TURN_ROWS) if paths.issuperset(x)]
+    return _hash(max(whole, key=len)) if whole else found
 
 
 def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:

@@ -123,7 +123,7 @@ def known_digests() -> dict[str, str]:
 
 def scan_licenses(df: DataFrame) -> DataFrame:
     """Per row of ``df`` (doc_id, text): doc_id, whole_license (of the entire text, else null) and
-    notices (sorted names found as entire paragraphs or lines)."""
+    notices (sorted names found as the entire text, a paragraph or a line)."""
     spark = df.sparkSession
     digests = known_digests()
     known = spark.createDataFrame(sorted(digests.items()), "digest string, license string")

@@ -14,7 +14,7 @@ costs one step. Fitting takes a bounded sample (``max_documents``); scoring take
 streams through them.
 
 Defined results: null counts as empty; empty texts and texts without a weighted word get the
-score of no evidence; without labels of both kinds every score is 0; repeated rows are scored each;
+score of no evidence; without labels of both kinds every score is next to 0; repeated rows are scored each;
 an empty table gives an empty table; extra columns are ignored.
 """
 
