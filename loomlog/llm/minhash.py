@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from .common import durable, merge_join, partitions, read_table, text_of
 from .components import connected_components
-from .word_hash import WordHasher, mix
+from .word_hash import WordHasher, mix, shared_hasher
 
 HOT_SHARE = 1 / 1024
 SALTS = 64
@@ -99,15 +99,6 @@ def similar(shared: int, a: int, b: int, percent: int) -> bool:
     return 100 * shared >= percent * (a + b - shared)
 
 
-_TOOLS: dict = {}
-
-
-def _tools(bins: int) -> tuple[WordHasher, Sketcher]:
-    if bins not in _TOOLS:
-        _TOOLS[bins] = WordHasher(), Sketcher(bins)
-    return _TOOLS[bins]
-
-
 def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
@@ -115,7 +106,7 @@ def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
 
 def _sketched(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sketcher = _tools(bands * rows)
+        hasher, sketcher = shared_hasher(), Sketcher(bands * rows)
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -149,7 +140,7 @@ def _against_pivot(rows: DataFrame, hot: dict[int, int], width: int, percent: in
             yield _batch(out, ["coarse", "salt", "later", "pivot", "doc_id", "text"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()])
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, _ = _tools(1)
+        hasher = shared_hasher()
         at, reference = None, None
         for batch in batches:
             out = []
@@ -217,7 +208,7 @@ def _among_rest(rows: DataFrame, width: int, percent: int) -> DataFrame:
                 yield _batch(out, ["coarse", "q", "m", "query", "label", "doc_id", "text"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, _ = _tools(1)
+        hasher = shared_hasher()
         at, sides = None, ([], [])
         for batch in batches:
             out = []

@@ -36,19 +36,10 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .common import durable, merge_join, read_table, text_of
-from .word_hash import WordHasher
+from .word_hash import WordHasher, shared_hasher
 
 GRAM = 10
 
-_HASHERS: list[WordHasher] = []
-
-
-def _hasher() -> WordHasher:
-    if not _HASHERS:
-        _HASHERS.append(WordHasher())
-    return _HASHERS[0]
-
-
 def blocks_of(words: list[bytes], width: int, gram: int, hasher: WordHasher) -> tuple[np.ndarray, ...]:
     """The blocks of a document: first window, number of windows, anchor, content."""
     n = len(words) - width + 1
@@ -76,7 +67,7 @@ def windows_of(words: list[bytes], width: int, starts: np.ndarray, hasher: WordH
 
 def _blocks(docs: DataFrame, width: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _hasher()
+        hasher = shared_hasher()
         for batch in batches:
             ids, tids, texts = (batch.column(i) for i in range(3))
             out: list[list[np.ndarray]] = [[], [], [], [], [], []]
@@ -99,7 +90,7 @@ def _boundary_windows(rows: DataFrame, width: int) -> DataFrame:
     """``rows`` (doc_id, tid, text, open: blocks to look into) -> their windows, one a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _hasher()
+        hasher = shared_hasher()
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], []]
             for doc, tid, text, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):

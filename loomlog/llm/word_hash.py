@@ -24,6 +24,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SHARED: list[WordHasher] = []
+
+
+def shared_hasher() -> WordHasher:
+    """One table of words for each Python worker, whatever runs in it."""
+    if not _SHARED:
+        _SHARED.append(WordHasher())
+    return _SHARED[0]
+
+
 class WordHasher:
     """Hashes of words, with a bounded table of those met before."""
 
