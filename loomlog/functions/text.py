@@ -22,6 +22,7 @@ NEWLINE_GLYPH = "█"
 BLANKS = r"\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 BREAKS = r"\n\r\x{2028}\x{2029}"
 ANSI = r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b\][^\x07\x1b]*(?:\x1b\\|\x07)|\x1b[@-Z\\-_]"
+#: Forms of a reference before a text (fixed values).
 REF_TAG = r"^(?:<acp\s[^>]*>m[0-9]{5}</acp>|\[m[0-9]{1,5}\])\s?\n?"
 #: Words of little weight (fixed values).
 STOPWORDS = (
