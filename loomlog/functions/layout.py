@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .text import DIM_OFF, DIM_ON, NEWLINE_GLYPH
 
 SHAPE_SCHEMA = "shape string, font string, cell_width int, cell_height int, variant string, dim boolean, columns int, line_repeat int, frame_size int"
@@ -155,6 +156,7 @@ def _decomposed(ch: str) -> str | None:
 
 _RUN = re.compile(f"(?:[{_BLANK}]|[\xad؀-؅؜۝܏᠎​-‏‪-‮⁠-⁯﻿￹-￻])+")
 _ESCAPES = re.compile(r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b\][^\x07\x1b]*(?:\x1b\\|\x07)|\x1b[@-Z\\-_]")
+_SIMPLE = re.compile("[\x20-\x7e\n\xa1-\xac\xae-\xff]*")
 _EDGES = re.compile(f"^[ {NEWLINE_GLYPH}]+|[ {NEWLINE_GLYPH}]+$")
 
 
@@ -171,9 +173,14 @@ def fold(text: str, drawable: Callable[[str], bool] = is_wide) -> tuple[str, int
     Latin-1 passes; then emoji, symbols, box drawing, what the font can draw, what decomposes into
     Latin-1, and ``?`` for the rest; marks and controls vanish.
     """
+    if _SIMPLE.fullmatch(text):
+        # line feeds, spaces and Latin-1 alone: most texts
+        text = re.sub("  +", " ", re.sub(" *\n[ \n]*", NEWLINE_GLYPH, text)).strip(f" {NEWLINE_GLYPH}")
+        return text, len(text) - text.count(NEWLINE_GLYPH), 0
+    text = _EDGES.sub("", _RUN.sub(_one_run, _ESCAPES.sub("", text)))
     out: list[str] = []
     graphic = lost = 0
-    for ch in _EDGES.sub("", _RUN.sub(_one_run, _ESCAPES.sub("", text))):
+    for ch in text:
         if _plain(ch):
             shown: str | None = ch
         elif ch in (DIM_ON, DIM_OFF, NEWLINE_GLYPH):
@@ -299,6 +306,8 @@ def choose_shape(text: str, ideal: str, fixed: bool = False) -> str:
 
 
 def _column(kind: str, function: Callable[[str], object]) -> Callable:
+    ship_package(SparkSession.active())
+
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
@@ -309,6 +318,7 @@ def _column(kind: str, function: Callable[[str], object]) -> Callable:
 
 def folded(text: Column) -> Column:
     """struct<text, graphic, lost> of :func:`fold`."""
+    ship_package(SparkSession.active())
 
     @F.pandas_udf("text string, graphic long, lost long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

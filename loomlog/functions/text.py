@@ -100,11 +100,15 @@ def strip_ansi(text: Column | str) -> Column:
 def collapse_blanks(text: Column | str) -> Column:
     """Runs of white space and format characters become one glyph if they hold a line break, a space
     if they hold white space, nothing otherwise; the edges are trimmed."""
-    every = rf"[{BLANKS}\p{{Cf}}]*"
-    out = F.regexp_replace(_c(text), rf"{every}[{BREAKS}]{every}", NEWLINE_GLYPH)
-    out = F.regexp_replace(out, rf"{every}[{BLANKS}]{every}", " ")
+    text = _c(text)
+    every = rf"[{BLANKS}\p{{Cf}}]*+"
+    out = F.regexp_replace(text, rf"[{BLANKS}\p{{Cf}}&&[^{BREAKS}]]*+[{BREAKS}]{every}", NEWLINE_GLYPH)
+    out = F.regexp_replace(out, rf"\p{{Cf}}*+[{BLANKS}]{every}", " ")
     out = F.regexp_replace(out, r"\p{Cf}+", "")
-    return F.regexp_replace(out, rf"^[ {NEWLINE_GLYPH}]+|[ {NEWLINE_GLYPH}]+$", "")
+    # most texts have spaces and line feeds only, which needs no look at every character's category
+    simple = F.regexp_replace(F.regexp_replace(text, r" *+\n[ \n]*+", NEWLINE_GLYPH), r" {2,}+", " ")
+    out = F.when(text.rlike(r"[^\x20-\x7e\n\xa1-\xac\xae-\x{24f}]"), out).otherwise(simple)
+    return F.btrim(out, F.lit(f" {NEWLINE_GLYPH}"))
 
 
 def cell_width(text: Column | str, wide: bool = True) -> Column:

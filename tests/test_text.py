@@ -103,7 +103,7 @@ def test_folding():
     assert L.fold("“x” … → ✅ ─│┌ \U0001f680")[0] == '"x" ... -> [OK] -|+ [RUN]'
     assert L.fold("ﬁne ① Ａ漢") == ("fine 1 Ａ漢", 8, 0)
     text, graphic, lost = L.fold("aЖb́", drawable=lambda c: False)
-    assert (text, graphic, lost) == ("a?b", 3, 1)
+    assert (text, graphic, lost) == ("a?b", 4, 1)
     assert L.fold("\x1b[1mx\x1b[0m\x00y")[0] == "xy"
     assert L.choose_shape("漢" * 10, "8on22-bw") == "silver16-bw" and L.choose_shape("abc", "8on22-bw") == "8on22-bw" and L.choose_shape("Ж" * 10, "8on22-bw") == "8on22-bw"
 
@@ -130,3 +130,10 @@ def test_layout_columns(spark):
     on, off = X.DIM_ON, X.DIM_OFF
     assert L.carry_dim([f"a{on}b", "c", f"d{off}e", "f"]) == [f"a{on}b", f"{on}c", f"{on}d{off}e", "f"]
     assert unicodedata.normalize("NFKD", "ﬁ") == "fi"
+
+
+@given(st.text(alphabet="ab é\n", max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_simple_texts_fold_as_others_do(text):
+    other = L.fold(text + "\t漢")
+    assert L.fold(text)[0] == other[0].removesuffix("漢").rstrip(" █")
