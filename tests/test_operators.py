@@ -296,3 +296,20 @@ def test_idle_watch_over_several_batches(spark, tmp_path):
         query = R.run_to_end(out, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     got = sorted((r.run_id, r.cause, r.event_id or 0) for r in query.collect())
     assert (1, "gap", 3) in got and (1, "hard", 3) in got and (1, "idle", 0) in got and any(r[:2] == (2, "idle") or r[:2] == (2, "gap") for r in got)
+
+
+def test_status_rules(spark):
+    from loomlog.operators import status as R
+
+    df = spark.createDataFrame([("on", ["text"], ["a", "b"]), ("off", ["image"], []), ("auto", ["image"], None), (None, None, ["x"])], "s string, i array<string>, p array<string>")
+    got = df.select(R.archiving_enabled(F.col("s"), R.has_vision(F.col("i"))).alias("e"), R.extend_prompt(F.col("p"), F.lit("z")).alias("p"), R.append_archived(F.col("p"), F.array(F.lit("a"))).alias("a")).collect()
+    assert [tuple(r) for r in got] == [(True, "a\nb\n\nz", ["a", "b", "a"]), (False, "\n\nz", ["a"]), (True, "\n\nz", ["a"]), (False, "x\n\nz", ["x", "a"])]
+    t = lambda s: None if s is None else f"2020-01-01 00:00:{s:02d}"
+    stops = spark.createDataFrame([("a", t(0), t(5)), ("b", t(0), t(11)), ("c", t(0), None)], "run_id string, x string, y string").select("run_id", F.to_timestamp("x").alias("stopped_at"), F.to_timestamp("y").alias("settled_at"))
+    assert [r.signal for r in R.escalation(stops).orderBy("run_id").collect()] == ["soft", "hard", "hard"]
+    ends = stops.select("run_id", F.col("stopped_at").alias("eof_at"), F.col("settled_at").alias("exit_at"))
+    assert [(r.by_eof, r.ended_at.second) for r in R.finish(ends).orderBy("run_id").collect()] == [(False, 5), (True, 10), (True, 10)]
+    frames = spark.createDataFrame([("ab12",), ("cd34",)], "sha string")
+    assert [r.sha for r in R.present_frames(frames, spark.createDataFrame([("file:/x/ab12.png",)], "path string")).collect()] == ["ab12"]
+    m = messages(spark, ("tool", "tool-result", "b", "1", "x" * 40), ("tool", "tool-result", "a", "2", "y"), plain("user", "z" * 80))
+    assert [r.seq for r in R.listing(m, "tool").orderBy("rank").collect()] == [1, 0, 2] and [r.seq for r in R.listing(m, "time", "b").collect()] == [0]
