@@ -29,9 +29,11 @@ def covered(messages: DataFrame, members: DataFrame) -> DataFrame:
 def uncovered_tokens(messages: DataFrame, members: DataFrame) -> DataFrame:
     """Tokens in view per session; results of compressing don't count, sessions with nothing in view
     report 0."""
-    counted = uncovered(messages, members).where(~F.col("tool_name").eqNullSafe("compress"))
-    sums = counted.groupBy("session_id").agg(F.sum(token_estimate("text")).alias("t"))
-    return messages.select("session_id").distinct().join(sums, SESSION, "left").select("session_id", F.coalesce("t", F.lit(0)).cast("long").alias("tokens"))
+    covered_ids = active(members).select(*ROW).distinct().withColumn("covered", F.lit(True))
+    # tokens are counted before the join, so that texts aren't shuffled; sessions stay in one pass
+    counted = messages.select(*ROW, F.when(F.col("tool_name").eqNullSafe("compress"), 0).otherwise(token_estimate("text")).alias("t"))
+    flagged = counted.join(covered_ids, ROW, "left")
+    return flagged.groupBy("session_id").agg(F.sum(F.when(F.col("covered").isNull(), F.col("t")).otherwise(0)).cast("long").alias("tokens"))
 
 
 def owners(members: DataFrame) -> DataFrame:

@@ -94,8 +94,8 @@ def replies(events: DataFrame) -> DataFrame:
     """The reply of each run: the last complete text and the deltas after it."""
     rows = events.where("kind in ('reply-delta', 'reply-complete')")
     place = F.struct(*_order())
-    last = rows.groupBy("run_id").agg(F.max(F.when(F.col("kind") == "reply-complete", place)).alias("done"))
-    rows = rows.join(last, "run_id").where(F.col("done").isNull() | (place >= F.col("done")))
+    done = F.max(F.when(F.col("kind") == "reply-complete", place)).over(Window.partitionBy("run_id"))
+    rows = rows.withColumn("done", done).where(F.col("done").isNull() | (place >= F.col("done")))
     ordered = F.array_sort(F.collect_list(F.struct(*_order(), "text")))
     return rows.groupBy("run_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("reply"))
 
@@ -110,8 +110,8 @@ def idle_gaps(events: DataFrame, seconds: int = IDLE_S) -> DataFrame:
 
 def hard_limit(events: DataFrame, seconds: int = HARD_S) -> DataFrame:
     """Events that come later than the limit after their run's first."""
-    first = events.groupBy("run_id").agg(F.min("ts").alias("started"))
-    late = events.join(first, "run_id").where(F.unix_micros("ts") - F.unix_micros("started") > seconds * 1_000_000)
+    rows = events.withColumn("started", F.min("ts").over(Window.partitionBy("run_id")))
+    late = rows.where(F.unix_micros("ts") - F.unix_micros("started") > seconds * 1_000_000)
     return late.groupBy("run_id").agg(F.count("*").alias("n_late"), F.min_by("event_id", F.struct(*_order())).alias("first_late"))
 
 

@@ -34,13 +34,16 @@ def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
     Scores are rounded to six places, so that ties are ties everywhere.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0)
-    rows = docs.withColumn("words", words).withColumn("n_words", F.size("words"))
-    whole = rows.groupBy("session_id").agg(F.count("*").alias("n"), F.avg("n_words").alias("mean"), *(F.count_if(F.array_contains("words", t)).alias(f"df{i}") for i, t in enumerate(terms)))
-    rows = rows.join(whole, "session_id")
+    # the words themselves stay before the shuffle: only their counts are needed after it
+    rows = docs.withColumn("words", words)
+    counts = (F.size(F.filter("words", _equals(term))).alias(f"tf{i}") for i, term in enumerate(terms))
+    rows = rows.select(*docs.columns, F.size("words").alias("n_words"), *counts)
+    session = Window.partitionBy("session_id")
+    dfs = (F.count_if(F.col(f"tf{i}") > 0).over(session).alias(f"df{i}") for i in range(len(terms)))
+    rows = rows.select("*", F.count("*").over(session).alias("n"), F.avg("n_words").over(session).alias("mean"), *dfs)
     score = F.lit(0.0)
-    for i, term in enumerate(terms):
-        tf = F.size(F.filter("words", _equals(term)))
-        df = F.col(f"df{i}")
+    for i in range(len(terms)):
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_words") / F.col("mean")))
     scored = rows.withColumn("score", F.round(score, 6)).where(F.col("score") > 0)

@@ -106,6 +106,6 @@ def lost_blocks(spark, sf_dir):
 def idle_candidates(spark, sf_dir):
     """Sessions without activity for an hour whose use is at least 50."""
     rows = model.read(spark, sf_dir, "events")
-    now = rows.agg(F.max("ts").alias("now"))
-    out = rows.groupBy(F.col("user_id").alias("run_id")).agg(F.max("ts").alias("last"), F.round(F.sum("value"), 4).alias("used")).join(F.broadcast(now))
-    return out.where((F.unix_micros("now") - F.unix_micros("last") >= 3_600_000_000) & (F.col("used") >= 50)).select("run_id", "used")
+    now = rows.agg(F.unix_micros(F.max("ts"))).scalar()
+    out = rows.groupBy(F.col("user_id").alias("run_id")).agg(F.max("ts").alias("last"), F.round(F.sum("value"), 4).alias("used"))
+    return out.where((now - F.unix_micros("last") >= 3_600_000_000) & (F.col("used") >= 50)).select("run_id", "used")
