@@ -38,12 +38,22 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks after the cut only. The tables live
-    under ``<spark.checkpoint.dir>/loomlog-<application id>``.
+    under ``<spark.checkpoint.dir>/loomlog-<application id>``, until :func:`forget`.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of :func:`durable` that only tables already written were made from."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._durable_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import durable, merge_join, partitions, read_table, text_of
+from .common import durable, forget, merge_join, partitions, read_table, text_of
 from .components import connected_components
 from .word_hash import WordHasher, mix, shared_hasher
 
@@ -243,14 +243,17 @@ def near_dedup(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # coarse groups: the graph of buckets
     bucketed = durable(classes.select("doc_id", F.explode("keys").alias("key")), "bucketed")
     buckets = bucketed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
-    tied = merge_join(bucketed, durable(buckets, "buckets"), "key").groupBy("doc_id", "first").agg(F.sum("n").alias("n"))
+    buckets = durable(buckets, "buckets")
+    tied = merge_join(bucketed, buckets, "key").groupBy("doc_id", "first").agg(F.sum("n").alias("n"))
     tied = durable(tied, "tied")
+    forget(bucketed, buckets)
     coarse = durable(connected_components(tied.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))), "coarse")
     degree = tied.groupBy("doc_id").agg(F.sum("n").alias("n")).withColumnRenamed("doc_id", "node")
     central = F.max(F.struct("n", (-F.col("node")).alias("minus"))).alias("central")
     groups = coarse.join(degree, "node").groupBy("component").agg(central, F.count("*").alias("members"))
     groups = durable(groups.select("component", (-F.col("central.minus")).alias("pivot"), "members"), "groups")
     labelled = durable(coarse.join(groups, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("coarse"), "pivot", "members"), "labelled")
+    forget(tied, coarse)
 
     # a row for each candidate with its text
     texts = merge_join(docs, labelled.drop("members"), "doc_id")
@@ -267,8 +270,10 @@ def near_dedup(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     more = durable(_among_rest(merge_join(texts, state, "doc_id"), width, percent), "more-links")
 
     fine = durable(connected_components(links.unionByName(more)), "components")
+    forget(labelled, groups, texts, first, left, state, more)
     of_class = classes.select("digest", F.col("doc_id").alias("node")).join(fine, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     of_class = durable(of_class, "of-class")
+    forget(classes, fine)
     alone = sketched.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     tied_rows = merge_join(sketched.where("doc_id is not null").drop("keys"), of_class, "digest").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     return tied_rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

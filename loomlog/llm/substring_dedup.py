@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import durable, merge_join, read_table, text_of
+from .common import durable, forget, merge_join, read_table, text_of
 from .word_hash import WordHasher, shared_hasher
 
 GRAM = 10
@@ -142,18 +142,22 @@ def substring_dedup(df: DataFrame, width: int = 50, gram: int = GRAM, carry: boo
     anchors = blocks.groupBy("anchor").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("content").alias("c0"), F.max("content").alias("c1"))
     anchors = durable(anchors.where("d0 < d1").select("anchor", (F.col("c0") != F.col("c1")).alias("differ")), "anchors")
     shared = durable(merge_join(blocks, anchors, "anchor"), "shared")
+    forget(blocks, anchors)
     index = durable(shared.groupBy("anchor", "content").agg(F.min("doc_id").alias("source")), "index")
-    shared = merge_join(shared, index, ["anchor", "content"])
-    shared = durable(shared.where("source < doc_id or differ").select("doc_id", "tid", "first", "n", "source"), "parsed")
-    copies = shared.where("source < doc_id").select("doc_id", "tid", "first", "n", "source")
+    parsed = merge_join(shared, index, ["anchor", "content"])
+    parsed = durable(parsed.where("source < doc_id or differ").select("doc_id", "tid", "first", "n", "source"), "parsed")
+    forget(shared, index)
+    copies = parsed.where("source < doc_id").select("doc_id", "tid", "first", "n", "source")
 
     # at the boundaries: windows one by one
-    opened = shared.where("source = doc_id").groupBy("doc_id", "tid").agg(F.collect_list(F.struct("first", "n")).alias("open"))
+    opened = parsed.where("source = doc_id").groupBy("doc_id", "tid").agg(F.collect_list(F.struct("first", "n")).alias("open"))
     windows = durable(_boundary_windows(merge_join(docs, opened, ["doc_id", "tid"]).select("doc_id", "tid", "text", "open"), width), "windows")
     known = windows.groupBy("window").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
-    more = merge_join(windows, durable(known, "known-windows"), "window").where("source < doc_id").select("doc_id", "tid", "first", F.lit(1).alias("n"), "source")
+    known = durable(known, "known-windows")
+    more = merge_join(windows, known, "window").where("source < doc_id").select("doc_id", "tid", "first", F.lit(1).alias("n"), "source")
 
     cuts = durable(copies.unionByName(more).groupBy("doc_id", "tid").agg(F.collect_list(F.struct("first", "n", "source")).alias("copies")), "copies")
+    forget(parsed, windows, known)
     out = _cut(merge_join(docs, cuts, ["doc_id", "tid"], "left").select("doc_id", "text", "copies", "row"), width, reflow=not carry)
     return out if carry else out.drop("row")
 
