@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next one's ``docs``; all but the last return the columns of ``documents``.
 Clean documents pass every filter: only toxic ones, copies, near copies and passages that stand in
-an earlier document go. Rows that share a doc_id stay or go together in the stages on copies.
+an earlier document go. Rows that share a doc_id stay or go together in the near-copy stage.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import fresh_path, merge_join, read_table
-from loomlog.llm.exact_dedup import exact_dedup
+from loomlog.llm.common import fresh_path, read_table
+from loomlog.llm.exact_dedup import drop_exact_copies
 from loomlog.llm.minhash import near_dedup
 from loomlog.llm.packing import pack_documents
 from loomlog.llm.substring_dedup import substring_dedup
@@ -36,7 +36,7 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one stays."""
-    return _only(docs, exact_dedup(docs))
+    return drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import SPACES, durable, partitions, read_table, text_of
+from .common import SPACES, durable, forget, partitions, read_table, text_of
 
 #: The largest prime below 2**128.
 MODULUS = (1 << 128) - 159
@@ -145,18 +145,80 @@ def _compared(docs: DataFrame, hot: dict[bytes, int], n: int) -> DataFrame:
     return met.mapInArrow(streamed, "doc_id long, n_chars long, text_sha256 string, same_as string")
 
 
-def exact_dedup(df: DataFrame) -> DataFrame:
-    """Per row of ``df`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = df.sparkSession
-    ship_package(spark)
-    docs = df.select(F.col("doc_id").cast("long"), text_of("text").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+def _hot_groups(docs: DataFrame) -> dict[bytes, int]:
+    """Hot fingerprints and the id of the row that stays: fewer than 1 / HOT_SHARE, whatever the input."""
     prints = durable(_fingerprints(docs), "fingerprints")
     most = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus_id")))
     groups = prints.groupBy("fingerprint").agg(F.count("*").alias("n"), most.alias("stays"))
     least = max(1000, int(prints.count() * HOT_SHARE))
-    # fewer than 1 / HOT_SHARE rows, whatever the input
-    hot = {bytes(r.fingerprint): -r.minus_id for r in groups.where(F.col("n") > least).select("fingerprint", "stays.minus_id").collect() if r.minus_id is not None}
-    rows = _compared(docs, hot, partitions(spark)).withColumn("row", F.monotonically_increasing_id())
+    hot = groups.where(F.col("n") > least).select("fingerprint", "stays.minus_id").collect()
+    forget(prints)
+    return {bytes(r.fingerprint): -r.minus_id for r in hot if r.minus_id is not None}
+
+
+def _documents(df: DataFrame) -> DataFrame:
+    docs = df.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def drop_exact_copies(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` (doc_id, text, more) that stay, whole and unchanged, with one shuffle.
+
+    Of equal texts the row with the most code points stays, then the smallest doc_id (rows without
+    one come last), then any one of rows that repeat whole. A text that differs from the reference
+    of a hot fingerprint, which takes a collision of 128 bits, is compared within its salt only.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    hot_rows = spark.sparkContext.broadcast(_hot_groups(_documents(df)))
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    docs = whole.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.length(text_of("row.text")).cast("long").alias("n_chars"), "row")
+    kind = whole.schema["row"].dataType.simpleString()
+    keys = ["fingerprint", "salt", "reference"]
+
+    def texts(batch: pa.RecordBatch) -> list[bytes]:
+        return [normalised(x) for x in batch.column("row").field("text").to_pylist()]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = hot_rows.value
+        for batch in batches:
+            out = []
+            for i, (doc, body) in enumerate(zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True)):
+                key = fingerprint(body)
+                salt = zlib.crc32(b"%d" % (doc or 0)) % SALTS if key in hot else 0
+                out.append((i, key, salt, 0))
+                if key in hot and doc == hot[key]:
+                    out += [(i, key, s, 1) for s in range(SALTS) if s != salt]
+            at, *columns = zip(*out, strict=True) if out else ([], [], [], [])
+            rows = batch.take(pa.array(at, pa.int32()))
+            made = [pa.array(x, k) for x, k in zip(columns, (pa.binary(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*made, *rows.columns], [*keys, *rows.schema.names])
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, references = None, []
+        for batch in batches:
+            stay = []
+            for key, salt, reference, body in zip(*(batch.column(k).to_pylist() for k in keys), texts(batch), strict=True):
+                if at != (key, salt):
+                    at, references = (key, salt), []
+                new = not any(same_bytes(x, body) for x in references)
+                if new:
+                    references.append(body)
+                stay.append(new and not reference)
+            yield batch.filter(pa.array(stay, pa.bool_())).select(["row"])
+
+    met = docs.mapInArrow(dealt, f"fingerprint binary, salt int, reference int, doc_id long, n_chars long, row {kind}")
+    order = ["fingerprint", "salt", F.desc("n_chars"), F.asc_nulls_last("doc_id"), F.desc("reference")]
+    met = met.repartition(partitions(spark), "fingerprint", "salt").sortWithinPartitions(*order)
+    return met.mapInArrow(streamed, f"row {kind}").select("row.*")
+
+
+def exact_dedup(df: DataFrame) -> DataFrame:
+    """Per row of ``df`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
+    spark = df.sparkSession
+    ship_package(spark)
+    docs = _documents(df)
+    rows = _compared(docs, _hot_groups(docs), partitions(spark)).withColumn("row", F.monotonically_increasing_id())
     rows = durable(rows, "compared")
     stays = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus_id"), (-F.col("row")).alias("minus_row")))
     sizes = durable(rows.groupBy("same_as").agg(F.count("*").alias("group_size"), stays.alias("stays")), "groups")

@@ -193,3 +193,17 @@ def test_op7_windows_at_block_boundaries(spark, no_docs):
 def test_op7_carry_keeps_columns_and_untouched_texts(hard_docs):
     out = S.substring_dedup(hard_docs, 50, carry=True).collect()
     assert {r.row.lang for r in out} == {"x"} and next(r for r in out if r.doc_id == 7).kept == " \t\n "
+
+
+@pytest.mark.parametrize("share", [1 / 1024, 1e-9])
+def test_copies_drop_whole_rows(spark, hard_docs, hard_rows, monkeypatch, share):
+    monkeypatch.setattr(X, "HOT_SHARE", share)
+    rows = X.drop_exact_copies(hard_docs).collect()
+    assert rows[0].__fields__ == hard_docs.columns and {(r.lang, r.tid, r.kept) for r in rows} == {("x", 1, 2.5)}
+    texts = {}
+    for d, t in hard_rows:
+        texts.setdefault(X.normalised(t), []).append((-len(t or ""), d is None, d or 0, t))
+    assert sorted((r.doc_id or 0, r.text or "") for r in rows) == sorted((m[2], m[3] or "") for m in map(min, texts.values()))
+    many = [(i, "same text" if i % 3 else f"other {i}") for i in range(2500)]
+    left = X.drop_exact_copies(spark.createDataFrame(many, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(r.doc_id for r in left) == sorted([1, *(i for i in range(0, 2500, 3))])
