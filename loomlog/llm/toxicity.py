@@ -25,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from ..session import ship_package
 from .common import read_table, text_of
 
 #: Labelled documents that the field is fitted on, at most.
-MAX_DOCUMENTS = 6000
+MAX_DOCUMENTS = 4000
 SEGMENT = 48
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -71,7 +72,7 @@ class Field:
                 if k & 1:
                     found = _times(found, base)
                 base, k = _times(base, base), k >> 1
-            if len(self._runs) > 100_000:
+            if len(self._runs) > 20_000:
                 self._runs.clear()
             self._runs[n] = found
         return found
@@ -170,24 +171,32 @@ def class_of(word: str, lexicon) -> str | None:
 def toxic_classes(documents: list[set[str]], labels: list[int], support: int = 5, share: float = 0.5, z: float = 6.0, words: int = 4) -> set[str]:
     """Words, and beginnings of ``words`` words or more, of at least ``support`` toxic documents,
     mostly found there and significantly so."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    begins = lambda w: (f"{w[:k]}*" for k in range(SHORTEST, min(LONGEST, len(w) - 1) + 1))
+    toxic: Counter = Counter()
+    for found, label in zip(documents, labels, strict=True):
+        if label:
+            toxic.update(found)
+            toxic.update({b for w in found for b in begins(w)})
+    # clean documents are counted for what toxic ones have often enough
+    toxic = Counter({name: k for name, k in toxic.items() if k >= support and len(name) >= SHORTEST})
+    clean: Counter = Counter()
     under: dict[str, set[str]] = {}
     for found, label in zip(documents, labels, strict=True):
-        begins = {f"{w[:k]}*" for w in found for k in range(SHORTEST, min(LONGEST, len(w) - 1) + 1)}
-        seen[label].update(found)
-        seen[label].update(begins)
         if label:
             for w in found:
-                for k in range(SHORTEST, min(LONGEST, len(w) - 1) + 1):
-                    if len(known := under.setdefault(f"{w[:k]}*", set())) < words:
+                for b in begins(w):
+                    if b in toxic and len(known := under.setdefault(b, set())) < words:
                         known.add(w)
+        else:
+            clean.update(w for w in found if w in toxic)
+            clean.update({b for w in found for b in begins(w) if b in toxic})
     rate = max(1, sum(labels)) / max(1, len(labels))
     out = set()
-    for name, k1 in seen[1].items():
-        k = k1 + seen[0][name]
-        if name.endswith("*") and len(under[name]) < words or len(name) < SHORTEST:
+    for name, k1 in toxic.items():
+        k = k1 + clean[name]
+        if name.endswith("*") and len(under[name]) < words:
             continue
-        if k1 >= support and (k1 + 0.5) / (k + 1) >= share and (k1 - k * rate) / math.sqrt(k * rate * (1 - rate) + 1e-9) >= z:
+        if (k1 + 0.5) / (k + 1) >= share and (k1 - k * rate) / math.sqrt(k * rate * (1 - rate) + 1e-9) >= z:
             out.add(name)
     return out
 
@@ -195,7 +204,7 @@ def toxic_classes(documents: list[set[str]], labels: list[int], support: int = 5
 def fit(texts: Iterable[str], labels: Iterable[int], rounds: int = 60, rate: float = 0.3, ridge: float = 1e-3) -> Field:
     """Fit the field and its curve on labelled documents; copies of a text count once."""
     kept = {t: int(y) for t, y in zip(texts, labels, strict=True)}
-    words = [WORD.findall(lowered(t)) for t in kept]
+    words = [[intern(w) for w in WORD.findall(lowered(t))] for t in kept]
     labels = list(kept.values())
     if len(set(labels)) < 2:
         return Field()
@@ -301,7 +310,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_D
     sample = spark.createDataFrame(sample.collect(), "doc_id long, toxic int")  # bounded; broadcast next
     rows = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
     rows = sorted((r.text, r.toxic) for r in rows.collect())
-    return fit([t for t, _ in rows], [y for _, y in rows])
+    return fit((t for t, _ in rows), (y for _, y in rows))
 
 
 def tag_toxicity(df: DataFrame, model: Field) -> DataFrame:

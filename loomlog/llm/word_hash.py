@@ -37,7 +37,7 @@ def shared_hasher() -> WordHasher:
 class WordHasher:
     """Hashes of words, with a bounded table of those met before."""
 
-    def __init__(self, max_words: int = 300_000):
+    def __init__(self, max_words: int = 150_000):
         self.max_words = max_words
         self.known: dict[bytes, bytes] = {}
         self.powers = self.inverses = np.ones(1, np.uint64)
