@@ -2,7 +2,7 @@
 
 Labels are given per document; tokens get theirs from them. Over the labelled documents some words,
 and some beginnings of words that several words share, are significantly and mostly found in toxic
-ones; a token of a toxic document is toxic if its word is or begins so, and every token of a clean
+ones (near copies count as one document); a token of a toxic document is toxic if its word is or begins so, and every token of a clean
 document is clean. The field has two tags, a weight for each such word or beginning (a token has
 that of its longest) and one for all other words, and weights for the transitions and the start; it is fitted by gradient ascent on
 the likelihood of segments of the labelled documents. Forward-backward gives each token's marginal:
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .common import read_table, text_of
+from .word_hash import WordHasher, mix
 
 #: Labelled documents that the field is fitted on, at most.
 MAX_DOCUMENTS = 4000
@@ -154,6 +155,32 @@ def _times(x: tuple[float, ...], y: tuple[float, ...]) -> tuple[float, ...]:
     return (z[0] / top, z[1] / top, z[2] / top, z[3] / top)
 
 
+def near_copies(texts: Iterable[str], width: int = 5, hashes: int = 8) -> list[int]:
+    """A group number for each text: texts that share a least shingle are one, since words of a text
+    that was copied are no more telling for it."""
+    hasher, seeds = WordHasher(), mix(np.arange(1, hashes + 1, dtype=np.uint64))
+    parent: list[int] = []
+    first: dict[tuple[int, int], int] = {}
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for i, text in enumerate(texts):
+        parent.append(i)
+        found = hasher.hashes(text.encode().lower().split())
+        if len(found) < width:
+            continue
+        starts = np.arange(len(found) - width + 1)
+        shingles = hasher.runs(hasher.prefix(found), starts, starts + width)
+        for k, seed in enumerate(seeds):
+            other = first.setdefault((k, int(mix(shingles ^ seed).min())), i)
+            a, b = root(other), root(i)
+            parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(parent))]
+
+
 #: Lengths of the beginnings looked at.
 SHORTEST, LONGEST = 3, 8
 
@@ -208,7 +235,11 @@ def fit(texts: Iterable[str], labels: Iterable[int], rounds: int = 60, rate: flo
     labels = list(kept.values())
     if len(set(labels)) < 2:
         return Field()
-    lexicon = sorted(toxic_classes([set(w) for w in words], labels))
+    merged: dict[tuple[int, int], set[str]] = {}
+    for group, ws, label in zip(near_copies(kept), words, labels, strict=True):
+        merged.setdefault((group, label), set()).update(ws)
+    lexicon = sorted(toxic_classes(list(merged.values()), [label for _, label in merged]))
+    del merged
     number = {c: i + 1 for i, c in enumerate(lexicon)}
     of_word = {w: number.get(class_of(w, number) or "", 0) for ws in words for w in set(ws)}
     # segments of tokens as numbers, 0 for all other words; those without a known class are many, so

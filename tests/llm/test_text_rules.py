@@ -192,3 +192,27 @@ def test_op3_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     toxic = [r for r in rows if r.toxic == 1]
     assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic) and sum(r.predicted for r in rows if r.toxic == 0) <= 0.01 * len(rows)
+
+
+def test_near_copies_count_once():
+    rng = random.Random(8)
+    base = [f"w{rng.random()}" for _ in range(80)]
+    changed = [*base[:40], "x", *base[41:]]
+    other = [f"v{rng.random()}" for _ in range(80)]
+    groups = T.near_copies([" ".join(base), " ".join(other), " ".join(changed), "", "a b"])
+    assert groups[0] == groups[2] and len({groups[0], groups[1], groups[3], groups[4]}) == 4
+    # a rare word of a toxic document that was copied isn't toxic
+    texts, labels = [], []
+    for i in range(200):
+        ws = [f"u{rng.randrange(300)}" for _ in range(60)]
+        if i % 10 == 0:
+            ws[::20] = ["vile", "rotten", "vile"]
+        texts.append(" ".join(ws))
+        labels.append(int(i % 10 == 0))
+    rare = texts[0].split()
+    rare[5] = "innocent"
+    for i in range(8):
+        texts.append(" ".join([*rare, f"end{i}"]))
+        labels.append(1)
+    model = T.fit(texts, labels)
+    assert "vile" in model.weights and "innocent" not in model.weights
