@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import model
-from ..functions.text import ref_tag
 from ..operators import archive as A
 from ..operators import messages as M
 from ..registry import query

@@ -15,7 +15,7 @@ from ..plans import history as H
 from ..plans.turn import run_turn
 from ..registry import query
 from ..sources.sessions import overlay_config, resolve_limit as limit_of
-from .block_queries import LIMIT, PROTECTED, RANGES, UNCOVERED, WITH, open_ranges, tables
+from .block_queries import LIMIT, PROTECTED, RANGES, UNCOVERED, WITH, tables
 
 TOK = tokens_sql("text")
 REFS = "refs AS (SELECT *, 'm' || lpad(CAST(row_number() OVER (PARTITION BY session_id ORDER BY seq, id) AS VARCHAR), 5, '0') AS ref FROM core)"
@@ -180,6 +180,3 @@ def array_union_tools(spark, sf_dir):
     rows = model.read(spark, sf_dir, "events").select("event_type").distinct()
     both = F.array_union(F.array(F.col("event_type"), F.lit("read"), F.lit("bash")), F.array(F.lit("bash"), F.lit("view"), F.lit("grep")))
     return rows.select("event_type", F.array_join(F.sort_array(both), ",").alias("tools"))
-
-
-__all__ = ["open_ranges"]
