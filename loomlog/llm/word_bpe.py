@@ -37,7 +37,7 @@ def broadcast_file(spark: SparkSession, path: str) -> Broadcast:
 class ChunkEncoder:
     """Special tokens' strings inside a text are ordinary text. ``max_chunks`` bounds the memory."""
 
-    def __init__(self, data: bytes, max_chunks: int = 350_000):
+    def __init__(self, data: bytes, max_chunks: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
