@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .common import read_table, text_of
-from .word_hash import WordHasher, mix
+from .minhash import shingle_set, similar
+from .word_hash import WordHasher
 
 #: Labelled documents that the field is fitted on, at most.
 MAX_DOCUMENTS = 4000
@@ -155,30 +156,37 @@ def _times(x: tuple[float, ...], y: tuple[float, ...]) -> tuple[float, ...]:
     return (z[0] / top, z[1] / top, z[2] / top, z[3] / top)
 
 
-def near_copies(texts: Iterable[str], width: int = 5, hashes: int = 8) -> list[int]:
-    """A group number for each text: texts that share a least shingle are one, since words of a text
-    that was copied are no more telling for it."""
-    hasher, seeds = WordHasher(), mix(np.arange(1, hashes + 1, dtype=np.uint64))
-    parent: list[int] = []
-    first: dict[tuple[int, int], int] = {}
+def near_copies(texts: Iterable[str], width: int = 5, percent: int = 80) -> list[int]:
+    """A group number for each text: texts linked by a similarity of ``percent`` over their shingles
+    are one, since words of a text that was copied are no more telling for it.
+
+    Exact. A set's rarest shingles, enough of them that the others are less than ``percent`` of it,
+    hold one that any similar set's have too; pairs that share one are compared on full sets.
+    """
+    hasher = WordHasher()
+    sets = [shingle_set(text, width, hasher) for text in texts]
+    parent = list(range(len(sets)))
 
     def root(i: int) -> int:
         while parent[i] != i:
             parent[i] = i = parent[parent[i]]
         return i
 
-    for i, text in enumerate(texts):
-        parent.append(i)
-        found = hasher.hashes(text.encode().lower().split())
-        if len(found) < width:
-            continue
-        starts = np.arange(len(found) - width + 1)
-        shingles = hasher.runs(hasher.prefix(found), starts, starts + width)
-        for k, seed in enumerate(seeds):
-            other = first.setdefault((k, int(mix(shingles ^ seed).min())), i)
-            a, b = root(other), root(i)
-            parent[max(a, b)] = min(a, b)
-    return [root(i) for i in range(len(parent))]
+    values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+    holders: dict[int, list[int]] = {}
+    for i, own in enumerate(sets):
+        often = counts[np.searchsorted(values, own)]
+        first = np.lexsort((own, often))[: len(own) - -(-percent * len(own) // 100) + 1]
+        others: set[int] = set()
+        for shingle in own[first[often[first] > 1]].tolist():
+            others.update(held := holders.setdefault(shingle, []))
+            held.append(i)
+        for j in sorted(others):
+            a, b, few, many = root(j), root(i), *sorted((len(sets[j]), len(own)))
+            # sets of too different sizes can't be similar
+            if a != b and similar(few, few, many, percent) and similar(len(np.intersect1d(sets[j], own, True)), few, many, percent):
+                parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(sets))]
 
 
 #: Lengths of the beginnings looked at.

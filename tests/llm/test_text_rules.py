@@ -216,3 +216,39 @@ def test_near_copies_count_once():
         labels.append(1)
     model = T.fit(texts, labels)
     assert "vile" in model.weights and "innocent" not in model.weights
+
+
+def test_a_shared_passage_does_not_merge_documents():
+    rng = random.Random(9)
+    footer = [f"f{i}" for i in range(60)]
+    texts, labels = [], []
+    for i in range(240):
+        ws = [f"u{rng.randrange(300)}" for _ in range(40)]
+        if i % 4 == 0:
+            ws[rng.randrange(40)] = "vile"
+        texts.append(" ".join([*ws, *footer]))
+        labels.append(int(i % 4 == 0))
+    assert T.near_copies(texts) == list(range(240))
+    assert "vile" in T.fit(texts, labels).weights
+
+
+def test_near_copies_equal_brute_force():
+    rng = random.Random(10)
+    texts = ["", " \n", "a b", "A  b", "a b c d e", "a b c d e f"]
+    for _ in range(12):
+        base = [rng.choice("abcdefgh") for _ in range(rng.choice([6, 30, 90]))]
+        for changes in (0, 0, 1, 1, 2, 4, 12):
+            ws = list(base)
+            for _ in range(changes):
+                ws[rng.randrange(len(ws))] = rng.choice("abcdefghXY")
+            texts.append(" ".join(ws))
+    sets = []
+    for t in texts:
+        ws = t.lower().split()
+        sets.append({tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set())
+    group = list(range(len(texts)))
+    for i, j in itertools.combinations(group[:], 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            a, b = sorted((group[i], group[j]))
+            group = [a if g == b else g for g in group]
+    assert T.near_copies(texts) == group and len(set(group)) < len(texts) - 12
