@@ -177,13 +177,19 @@ def turns_of_rows(df: DataFrame) -> DataFrame:
 
 def format_rows(df: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) -> (conv_id, formatted, loss_spans), with one shuffle."""
+    return _formatted(df.select("conv_id", "turn", "role", "text", F.lit(True).alias("is_turn")))
+
+
+def _formatted(df: DataFrame) -> DataFrame:
+    """As :func:`format_rows`; rows without ``is_turn`` only name a conversation."""
     role, text = F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    rows = df.select("conv_id", "turn", role, text).withColumn("piece", _piece(F.col("role"), F.col("text")))
+    piece = F.when(F.col("is_turn"), _piece(F.col("role"), F.col("text"))).otherwise("")
+    rows = df.select("conv_id", "turn", role, text, "is_turn").withColumn("piece", piece)
     before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select("conv_id", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).alias("at"), "role", "text", "piece")
+    rows = rows.select("conv_id", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).alias("at"), "role", "text", "piece", "is_turn")
     size = F.length(escape(F.col("text")))
     span = F.struct((F.col("at") + F.length("piece") - size - len(END) - 1).alias("start"), size.cast("long").alias("length"))
-    item = F.struct("at", "piece", F.when(F.col("role") == "assistant", span).alias("span"))
+    item = F.struct("at", "piece", F.when(F.col("is_turn") & (F.col("role") == "assistant"), span).alias("span"))
     out = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     return out.select(
         "conv_id",
@@ -193,9 +199,11 @@ def format_rows(df: DataFrame) -> DataFrame:
 
 
 def format_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """(``id_col``, turns), see :func:`canonical_turns` -> (``id_col``, formatted, loss_spans)."""
-    rows = df.select(F.col(id_col).alias("conv_id"), F.posexplode("turns").alias("turn", "t")).select("conv_id", "turn", "t.role", "t.text")
-    return format_rows(rows).withColumnRenamed("conv_id", id_col)
+    """(``id_col``, turns), see :func:`canonical_turns` -> (``id_col``, formatted, loss_spans); a
+    conversation without turns, or with null for them, has an empty text and no spans."""
+    rows = df.select(F.col(id_col).alias("conv_id"), F.posexplode_outer("turns").alias("turn", "t"))
+    rows = rows.select("conv_id", "turn", "t.role", "t.text", F.col("turn").isNotNull().alias("is_turn"))
+    return _formatted(rows).withColumnRenamed("conv_id", id_col)
 
 
 def parse_chat(formatted: Column) -> Column:

@@ -252,3 +252,10 @@ def test_near_copies_equal_brute_force():
             a, b = sorted((group[i], group[j]))
             group = [a if g == b else g for g in group]
     assert T.near_copies(texts) == group and len(set(group)) < len(texts) - 12
+
+
+def test_conversations_without_turns_keep_their_row(spark):
+    rows = [(1, [("user", "u"), ("assistant", "a")]), (2, []), (3, None), (None, None)]
+    out = {r.conv_id: r for r in C.format_turns(spark.createDataFrame(rows, "conv_id long, turns array<struct<role: string, text: string>>")).collect()}
+    assert set(out) == {1, 2, 3, None} and len(out[1].loss_spans) == 1
+    assert all(out[i].formatted == "" and out[i].loss_spans == [] for i in (2, 3, None))
