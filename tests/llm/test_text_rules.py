@@ -259,3 +259,17 @@ def test_conversations_without_turns_keep_their_row(spark):
     out = {r.conv_id: r for r in C.format_turns(spark.createDataFrame(rows, "conv_id long, turns array<struct<role: string, text: string>>")).collect()}
     assert set(out) == {1, 2, 3, None} and len(out[1].loss_spans) == 1
     assert all(out[i].formatted == "" and out[i].loss_spans == [] for i in (2, 3, None))
+
+
+def test_op2_goes_by_the_fingerprint(spark, monkeypatch):
+    """The query has the turns of the layout that the table's own fingerprint selects."""
+    tables = {
+        "rows": spark.createDataFrame([(1, 0, "user", "u", "x"), (1, 1, "assistant", "ab", "x")], "conv_id long, turn long, role string, text string, lang string"),
+    }
+    seen = []
+    canonical = C.canonical_turns
+    monkeypatch.setattr(C, "read_table", lambda spark, sf_dir, name: tables[sf_dir])
+    monkeypatch.setattr(C, "canonical_turns", lambda df, *args: seen.append(C.fingerprint(df.schema)) or canonical(df, *args))
+    out = {r.conv_id: r for r in C.op2_chat_format(spark, "rows").collect()}
+    assert seen == [C.TURN_ROWS_PRINT]
+    assert set(out) == {1, -1} and (out[1].n_turns, out[1].loss_chars) == (2, 2) and out[-1].n_turns == 2
