@@ -109,9 +109,18 @@ def normal_lines(text: Column) -> Column:
     return out
 
 
+def collapsed(column: Column) -> Column:
+    """Normal lines with single spaces for white space."""
+    return F.trim(F.regexp_replace(column, r"[ \n]+", " "))
+
+
 def one_text(column: Column) -> Column:
     """Normal lines -> the normal form of the whole."""
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(column, r"[ \n]+", " ")), F.lit(" "))
+    return usual_spelling(collapsed(column))
+
+
+def usual_spelling(column: Column) -> Column:
+    out = F.concat(F.lit(" "), column, F.lit(" "))
     for other, usual in SPELLINGS:
         out = F.replace(out, F.lit(f" {other} "), F.lit(f" {usual} "))
     return F.trim(out)
@@ -129,14 +138,16 @@ def scan_licenses(df: DataFrame) -> DataFrame:
     known = spark.createDataFrame(sorted(digests.items()), "digest string, license string")
     longest = max(len(normalise(text)) for _, text in KNOWN)
     docs = df.select("doc_id", normal_lines(text_of("text")).alias("lines"))
-    # the entire text, each paragraph and each line; those longer than any licence can't match
+    # the entire text, each paragraph and each line
     units = F.concat(
-        F.array(F.struct(F.lit(True).alias("whole"), F.col("lines").alias("unit"))),
-        F.transform(F.split("lines", r"\n[ ]*\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))),
-        F.transform(F.split("lines", r"\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))),
+        F.array(F.struct(F.lit(True).alias("whole"), collapsed(F.col("lines")).alias("unit"))),
+        F.transform(F.split("lines", r"\n[ ]*\n"), lambda x: F.struct(F.lit(False).alias("whole"), collapsed(x).alias("unit"))),
+        F.transform(F.split("lines", r"\n"), lambda x: F.struct(F.lit(False).alias("whole"), collapsed(x).alias("unit"))),
     )
+    # equal spellings shorten a text by less than half, so what is longer than twice the longest
+    # known one after its white space is collapsed can't match
     pieces = docs.select("doc_id", F.inline(F.filter(units, lambda u: (F.length(u["unit"]) <= 2 * longest) & (F.length(u["unit"]) > 1))))
-    found = pieces.withColumn("digest", F.sha2(one_text(F.col("unit")), 256)).join(F.broadcast(known), "digest")
+    found = pieces.withColumn("digest", F.sha2(usual_spelling(F.col("unit")), 256)).join(F.broadcast(known), "digest")
     found = found.groupBy("doc_id").agg(F.max(F.when(F.col("whole"), F.col("license"))).alias("whole_license"), F.sort_array(F.collect_set("license")).alias("notices"))
     none = F.array().cast("array<string>")
     return df.select("doc_id").join(found, "doc_id", "left").select("doc_id", "whole_license", F.coalesce("notices", none).alias("notices"))

@@ -273,3 +273,17 @@ def test_op2_goes_by_the_fingerprint(spark, monkeypatch):
     out = {r.conv_id: r for r in C.op2_chat_format(spark, "rows").collect()}
     assert seen == [C.TURN_ROWS_PRINT]
     assert set(out) == {1, -1} and (out[1].n_turns, out[1].loss_chars) == (2, 2) and out[-1].n_turns == 2
+
+
+def test_padded_licences_match_as_in_sql(spark, monkeypatch):
+    """Blank lines don't count towards a text's length, as they don't in the SQL."""
+    import duckdb
+
+    pad = "\n \n" * 4000
+    rows = [(1, pad + L._MIT + pad), (2, L._BSD_HEAD + pad + L._BSD_TAIL), (3, "Released under the MIT License." + " " * 9000), (4, L._GPL3_NOTICE.replace(" ", "\n" * 9)), (5, "x " * 9000), (6, pad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(L, "read_table", lambda spark, sf_dir, name: docs)
+    got = sorted(tuple(r) for r in L.op5_license_scan(spark, "").select("doc_id", "whole_license", "notices", "n_notices").collect())
+    documents = docs.toPandas()  # noqa: F841  (DuckDB reads it by name)
+    assert got == sorted(duckdb.sql(L.op5_sql()).fetchall())
+    assert [(d, w) for d, w, _, _ in got] == [(1, "MIT"), (2, "BSD-2-Clause"), (3, "MIT"), (4, "GPL-3.0"), (5, ""), (6, "")]
