@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,25 +130,52 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
 def canonical_turns_json(df: DataFrame, id_col: str = "conv_id", json_col: str = "json") -> DataFrame:
     """(``id_col``, layout, turns) of rows of JSON text, each in a layout of its own.
 
-    A row whose fingerprint no layout has, or that isn't JSON, gets null for both.
+    Fingerprints are those of tables: of the known paths that a row has, else of the largest layout
+    that it has; other keys don't matter. A row without one but with an empty or null list of a
+    layout has that layout and no turns. A row that no layout fits, or that isn't JSON, gets null
+    for both.
     """
-    variant = F.try_parse_json(F.col(json_col))
-    # OBJECT<a: STRING, b: ARRAY<...>>: names alone count, whatever the scalars' types
-    shape = F.regexp_replace(F.schema_of_variant(variant), r": (?!OBJECT|ARRAY)[A-Z]+(\(\d+,\d+\))?", "")
-    rows = df.select(F.col(id_col), variant.alias("v"), F.sha2(shape, 256).alias("print"))
+    rows = df.select(F.col(id_col), F.try_parse_json(F.col(json_col)).alias("v"))
+    rows = rows.select(id_col, "v", F.try_variant_get("v", "$", "map<string,variant>").alias("keys"))
+    by_size = sorted(LAYOUTS, key=lambda item: -len(item.paths))
+    whole = [F.when(_all(_has(p) for p in item.paths), _hash(item.paths)) for item in by_size]
+    empty = [F.when(_all(_has_none(p) for p in item.paths), _hash(item.paths)) for item in LAYOUTS if "[]." in item.paths[0]]
+    rows = rows.select(id_col, "v", F.coalesce(*whole, *empty).alias("print"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
-    for item in LAYOUTS:
-        is_it = F.col("print") == _variant_print(item.paths)
+    for found, item in BY_PRINT.items():
+        is_it = F.col("print") == found
         layout = F.when(is_it, item.name).otherwise(layout)
         turns = F.when(is_it, item.turns(lambda name, paths=item.paths: _from_variant(name, paths))).otherwise(turns)
     return rows.select(id_col, layout.alias("layout"), turns.alias("turns"))
 
 
-def _variant_print(paths: tuple[str, ...]) -> str:
-    lists = {p.split("[].")[0]: sorted(q.split("[].")[1] for q in paths if q.startswith(p.split("[].")[0])) for p in paths if "[]." in p}
-    parts = sorted({p.split("[].")[0] for p in paths})
-    text = ", ".join(f"{p}: ARRAY<OBJECT<{', '.join(lists[p])}>>" if p in lists else p for p in parts)
-    return hashlib.sha256(f"OBJECT<{text}>".encode()).hexdigest()
+def _all(conditions) -> Column:
+    return reduce(Column.__and__, conditions)
+
+
+def _scalar(keys: Column, name: str) -> Column:
+    """Whether an object has ``name`` and neither an object nor a list there."""
+    nested = F.schema_of_variant(F.element_at(keys, F.lit(name))).rlike("^(OBJECT|ARRAY)")
+    return F.coalesce(F.map_contains_key(keys, name), F.lit(False)) & ~F.coalesce(nested, F.lit(False))
+
+
+def _has(path: str) -> Column:
+    """Whether a JSON row has ``path``: for a list of objects (or nulls), in any of them."""
+    if "[]." not in path:
+        return _scalar(F.col("keys"), path)
+    name, inner = path.split("[].")
+    items = F.try_variant_get("v", f"$.{name}", "array<variant>")
+    objects = F.forall(items, lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID")).rlike("^(OBJECT|VOID)"))
+    maps = F.try_variant_get("v", f"$.{name}", "array<map<string,variant>>")
+    return F.coalesce(objects & F.exists(maps, lambda x: _scalar(x, inner)), F.lit(False))
+
+
+def _has_none(path: str) -> Column:
+    """Whether a JSON row has an empty or null list for ``path``."""
+    name = path.split("[].")[0]
+    kind = F.schema_of_variant(F.element_at(F.col("keys"), F.lit(name)))
+    size = F.size(F.try_variant_get("v", f"$.{name}", "array<variant>"))
+    return F.coalesce(F.map_contains_key(F.col("keys"), name) & ((size == 0) | (kind == "VOID")), F.lit(False))
 
 
 def _from_variant(name: str, paths: tuple[str, ...]) -> Column:

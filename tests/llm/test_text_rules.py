@@ -287,3 +287,20 @@ def test_padded_licences_match_as_in_sql(spark, monkeypatch):
     documents = docs.toPandas()  # noqa: F841  (DuckDB reads it by name)
     assert got == sorted(duckdb.sql(L.op5_sql()).fetchall())
     assert [(d, w) for d, w, _, _ in got] == [(1, "MIT"), (2, "BSD-2-Clause"), (3, "MIT"), (4, "GPL-3.0"), (5, ""), (6, "")]
+
+
+def test_json_rows_with_other_keys_and_empty_lists(spark):
+    rows = [
+        ('{"id": 1, "prompt": "p", "response": "r", "meta": {"a": [1]}}', "prompt_response", [("user", "p"), ("assistant", "r")]),
+        ('{"messages": [{"role": "user", "content": "m", "name": "n"}, {"role": "gpt", "content": null}], "id": "x"}', "messages", [("user", "m"), ("assistant", "")]),
+        ('{"conversations": [{"from": "human", "value": "c"}, {"from": "gpt", "value": 2, "weight": 1}], "prompt": "p"}', "conversations", [("user", "c"), ("assistant", "2")]),
+        ('{"messages": [], "id": 1}', "messages", []),
+        ('{"messages": null}', "messages", []),
+        ('{"messages": [], "question": "q", "answer": "a"}', "question_answer", [("user", "q"), ("assistant", "a")]),
+        ('{"system": "s", "prompt": "p", "response": "r", "a, b: ARRAY<": 1}', "system_prompt_response", [("system", "s"), ("user", "p"), ("assistant", "r")]),
+        ('{"messages": [1]}', None, None), ('{"messages": [{"role": "user"}]}', None, None), ('{"prompt": {"a": 1}, "response": "r"}', None, None),
+        ('{"prompt": "p", "id": 1}', None, None), ("[1]", None, None), ("{}", None, None), ("5", None, None), ("null", None, None),
+    ]
+    out = {r.conv_id: r for r in C.canonical_turns_json(spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "conv_id long, json string")).collect()}
+    got = [(out[i].layout, None if out[i].turns is None else [(t.role, t.text) for t in out[i].turns]) for i in range(len(rows))]
+    assert got == [r[1:] for r in rows]
