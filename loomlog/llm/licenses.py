@@ -6,6 +6,10 @@ known licences and notices. Three kinds of text are looked up entire: the docume
 (between blank lines) and its lines. The known digests are a fixed list, so their side is broadcast;
 documents aren't shuffled, only what was found.
 
+The list is bounded: full texts of MIT, ISC and BSD alone; notices or one-line statements of
+Apache-2.0, GPL-3.0 and Creative Commons, whose full texts have no match. A copyright line after a
+comment mark stays in the text, which then has no match as a whole.
+
 Defined results: null counts as empty; texts that normalise to nothing match nothing; a notice that
 stands in a document twice is listed once; rows that share a doc_id share what is found in any of
 them; null document ids have no notices; an empty table gives an empty table; extra columns are
