@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, forget
+from .common import durable, forget, merge_join
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -20,10 +20,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = durable(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "large-star")
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = merge_join(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = durable(large, "large")
         below = durable(large.groupBy("a").agg(F.min("b").alias("m")), "small-star")
-        small = large.join(below, "a").select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = merge_join(large, below, "a").select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         old, edges = edges, durable(small.unionByName(below.select("a", F.col("m").alias("b"))).distinct(), "edges")
         forget(old, least, large, below)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

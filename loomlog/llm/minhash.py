@@ -7,19 +7,27 @@ with the sets' Jaccard similarity as probability, with concentration bounds, aft
 work. Bands of ``rows`` bins make bucket keys; number and width follow from the similarity asked
 for, such that a pair at the threshold shares no bucket with a probability of one in a million.
 
-**Verification.** Documents with the same set form a class with one representative. Buckets give
-coarse groups: components of the graph that ties each member to its bucket's smallest member. Each
-coarse group's representatives meet twice. First all are compared with one pivot, the member with
-the most bucket neighbours: a task streams through its rows and holds the pivot alone; groups with
-over 1/1024 of the rows are salted and the pivot is copied to each salt. Then those not linked to
-the pivot are compared with all others of the coarse group, block against block, through an
-inverted index of a block's shingles. So each pair in a coarse group is decided on full sets unless
-both are linked to the pivot anyway, without all pairs ever being rows. Links then make components.
+**Groups.** Documents with the same set form a class; one of its texts stands for it. Buckets give
+coarse groups: components of the graph that ties each member to its bucket's smallest member. A
+coarse group may hold unlike texts that a common passage put into some bucket, so it is split by
+the sketches themselves: two members are tied only if their bins agree so often that a pair at the
+threshold fails with a probability of about one in a million. Ties make fine groups, in which links
+are decided on full sets.
+
+**Meeting.** In a group, of either kind, the members meet twice. First all are compared with one
+pivot, the member with the most bucket neighbours: a task streams through its rows and holds the
+pivot alone; groups with over 1/1024 of the rows are salted and the pivot is copied to each salt.
+Then those that aren't tied to the pivot meet all others, block against block. A block has a bounded
+number of rows and, on average, of shingles, and a block pair is one task's working set; what comes
+out of it is a tie or link for a row and a block at most, never all pairs. Sketches take 8 bits a bin, so that
+splitting moves no texts. So each pair of a fine group is decided on full sets unless both are linked to
+its pivot anyway. Links then make components.
 
 Defined results: null counts as empty; a document without words has no set and is linked with
 nothing; one with fewer words than a shingle has its whole word sequence as its only shingle;
-rows that share a doc_id are one document (any one of their texts is compared) and share its
-verdict; null document ids are unlinked and kept; an empty table gives an empty table; extra columns are ignored.
+rows that share a doc_id are one document: each of their texts is compared, what any of them is
+linked with is linked with all, and they share the verdict; null document ids are unlinked and
+kept; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,8 +49,8 @@ from .word_hash import WordHasher, mix, shared_hasher
 
 HOT_SHARE = 1 / 1024
 SALTS = 64
-#: Shingles in a block of the second comparison, on average.
-BLOCK_SHINGLES = 100_000
+#: Shingles in a block of texts, on average; rows in a block of texts and in one of sketches.
+BLOCK_SHINGLES, BLOCK_TEXTS, BLOCK_SKETCHES = 100_000, 256, 1024
 
 
 def bands_for(similarity: float, miss: float = 1e-6, most_bins: int = 208) -> tuple[int, int]:
@@ -99,134 +107,224 @@ def similar(shared: int, a: int, b: int, percent: int) -> bool:
     return 100 * shared >= percent * (a + b - shared)
 
 
+def bins_in_common(similarity: float, bins: int) -> int:
+    """Bins that agree in a pair at ``similarity``, less five standard deviations."""
+    return max(1, math.floor(bins * similarity - 5 * math.sqrt(bins * similarity * (1 - similarity))))
+
+
 def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
 
 def _sketched(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, sketcher = shared_hasher(), Sketcher(bands * rows)
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, tid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 elements = shingle_set(text, width, hasher)
                 if len(elements):
                     digest = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
-                    out.append((doc, len(elements), digest, sketcher.keys(sketcher.sketch(elements), bands, rows)))
+                    sketch = sketcher.sketch(elements)
+                    out.append((doc, tid, len(elements), digest, (sketch & np.uint64(255)).astype(np.uint8).tobytes(), sketcher.keys(sketch, bands, rows)))
                 else:
-                    out.append((doc, 0, None, None))
-            yield _batch(out, ["doc_id", "n_shingles", "digest", "keys"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())])
+                    out.append((doc, tid, 0, None, None, None))
+            yield _batch(out, ["doc_id", "tid", "n_shingles", "digest", "bins", "keys"], kinds)
+
+    return docs.mapInArrow(run, "doc_id long, tid long, n_shingles long, digest binary, bins binary, keys array<long>")
+
+
+class ByBins:
+    """Meeting by sketches: two members are tied if enough of their bins agree."""
+
+    kind = "binary"
+
+    def __init__(self, least: int):
+        self.least = least
+
+    def load(self, payload: bytes) -> np.ndarray:
+        return np.frombuffer(payload, np.uint8)
+
+    def size(self, member: np.ndarray) -> int:
+        return 0
+
+    def close(self, a: np.ndarray, b: np.ndarray) -> bool:
+        return int((a == b).sum()) >= self.least
+
+    def many(self, members: list[np.ndarray]):
+        """A function from a member to the places of those close to it."""
+        every = np.stack(members)
+        return lambda query: np.flatnonzero((every == query).sum(1) >= self.least)
+
+
+class BySets:
+    """Meeting by full shingle sets of texts."""
+
+    kind = "string"
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    def __init__(self, width: int, percent: int):
+        self.width, self.percent = width, percent
 
+    def load(self, payload: str) -> np.ndarray:
+        return shingle_set(payload, self.width, shared_hasher())
 
-def _against_pivot(rows: DataFrame, hot: dict[int, int], width: int, percent: int) -> DataFrame:
-    """``rows`` (coarse, pivot, doc_id, text) -> (coarse, pivot, doc_id, linked), by streaming."""
+    def size(self, member: np.ndarray) -> int:
+        return len(member)
+
+    def close(self, a: np.ndarray, b: np.ndarray) -> bool:
+        return similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), self.percent)
+
+    def many(self, members: list[np.ndarray]):
+        """The same, through an inverted index of the members' shingles."""
+        sizes = np.array([len(m) for m in members])
+        every = np.concatenate(members)
+        order = np.argsort(every, kind="stable")
+        owner = np.repeat(np.arange(len(members)), sizes)[order]
+        every = every[order]
+
+        def found(query: np.ndarray) -> np.ndarray:
+            low, high = np.searchsorted(every, query, "left"), np.searchsorted(every, query, "right")
+            counts = high - low
+            hits = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(int(counts.sum()))
+            shared = np.bincount(owner[hits], minlength=len(members))
+            return np.flatnonzero(100 * shared >= self.percent * (len(query) + sizes - shared))
+
+        return found
+
+
+def _against_pivot(rows: DataFrame, hot: dict[int, int], by) -> DataFrame:
+    """``rows`` (grp, pivot, node, payload) -> (grp, pivot, node, size, linked), by streaming."""
     hot_groups = rows.sparkSession.sparkContext.broadcast(set(hot))
+    payload_kind = pa.binary() if by.kind == "binary" else pa.string()
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = hot_groups.value
         for batch in batches:
             out = []
-            for coarse, pivot, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                first = 0 if doc == pivot else 1
-                if coarse not in hot:
-                    out.append((coarse, 0, first, pivot, doc, text))
+            for group, pivot, node, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first = 0 if node == pivot else 1
+                if group not in hot:
+                    out.append((group, 0, first, pivot, node, payload))
                 elif first == 0:
-                    out += [(coarse, s, 0, pivot, doc, text) for s in range(SALTS)]
+                    out += [(group, s, 0, pivot, node, payload) for s in range(SALTS)]
                 else:
-                    out.append((coarse, zlib.crc32(b"%d" % doc) % SALTS, 1, pivot, doc, text))
-            yield _batch(out, ["coarse", "salt", "later", "pivot", "doc_id", "text"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()])
+                    out.append((group, zlib.crc32(b"%d" % node) % SALTS, 1, pivot, node, payload))
+            yield _batch(out, ["grp", "salt", "later", "pivot", "node", "payload"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), payload_kind])
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = shared_hasher()
         at, reference = None, None
         for batch in batches:
             out = []
-            for coarse, salt, later, pivot, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                elements = shingle_set(text, width, hasher)
+            for group, salt, later, pivot, node, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                member = by.load(payload)
                 if not later:
-                    at, reference = (coarse, salt), elements
+                    at, reference = (group, salt), member
                     if salt == 0:
-                        out.append((coarse, pivot, doc, len(elements), True))
+                        out.append((group, pivot, node, by.size(member), True))
                     continue
-                if at != (coarse, salt):
+                if at != (group, salt):
                     raise RuntimeError("a group came without its pivot")
-                shared = len(np.intersect1d(reference, elements, assume_unique=True))
-                out.append((coarse, pivot, doc, len(elements), similar(shared, len(reference), len(elements), percent)))
-            yield _batch(out, ["coarse", "pivot", "doc_id", "size", "linked"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()])
+                out.append((group, pivot, node, by.size(member), by.close(reference, member)))
+            yield _batch(out, ["grp", "pivot", "node", "size", "linked"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()])
 
-    met = rows.select("coarse", "pivot", "doc_id", "text").mapInArrow(dealt, "coarse long, salt int, later int, pivot long, doc_id long, text string")
-    met = met.repartition(partitions(rows.sparkSession), "coarse", "salt").sortWithinPartitions("coarse", "salt", "later", "doc_id")
-    return met.mapInArrow(streamed, "coarse long, pivot long, doc_id long, size long, linked boolean")
+    met = rows.select("grp", "pivot", "node", "payload").mapInArrow(dealt, f"grp long, salt int, later int, pivot long, node long, payload {by.kind}")
+    met = met.repartition(partitions(rows.sparkSession), "grp", "salt").sortWithinPartitions("grp", "salt", "later", "node")
+    return met.mapInArrow(streamed, "grp long, pivot long, node long, size long, linked boolean")
 
 
-def links_in_blocks(queries: list[tuple], members: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Links between two blocks of (doc, label, set): for each query one link a label, if any."""
+def links_in_blocks(queries: list[tuple], members: list[tuple], by) -> list[tuple[int, int]]:
+    """Links between two blocks of (node, label, member), of those with different labels: as few as
+    make the same components."""
     if not queries or not members:
         return []
-    sizes = np.array([len(m[2]) for m in members])
-    every = np.concatenate([m[2] for m in members])
-    owner = np.repeat(np.arange(len(members)), sizes)
-    order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
+    found = by.many([m[2] for m in members])
+    labels: dict = {}
+
+    def root(x):
+        while labels.get(x, x) != x:
+            x = labels[x]
+        return x
+
     out = []
-    for doc, label, elements in queries:
-        low, high = np.searchsorted(every, elements, "left"), np.searchsorted(every, elements, "right")
-        counts = high - low
-        total = int(counts.sum())
-        if not total:
-            continue
-        hits = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(total)
-        shared = np.bincount(owner[hits], minlength=len(members))
-        close = np.flatnonzero(100 * shared >= percent * (len(elements) + sizes - shared))
-        found: dict[int, int] = {}
-        for i in close.tolist():
-            other, its_label, _ = members[i]
-            if other != doc and its_label != label and other < found.get(its_label, 1 << 63):
-                found[its_label] = other
-        out += [(doc, other) for other in found.values()]
+    for node, label, member in queries:
+        for i in found(member).tolist():
+            a, b = root(label), root(members[i][1])
+            if a != b:
+                labels[max(a, b)] = min(a, b)
+                out.append((node, members[i][0]))
     return out
 
 
-def _among_rest(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """``rows`` (coarse, q_blocks, m_blocks, unlinked, label, doc_id, text) -> links (a, b).
+def _among_rest(rows: DataFrame, by) -> DataFrame:
+    """``rows`` (grp, q_blocks, m_blocks, unlinked, label, node, payload) -> links (a, b).
 
     A row joins every block pair of its side; a block pair is one task's working set.
     """
+    payload_kind = pa.binary() if by.kind == "binary" else pa.string()
+    names = ["grp", "q", "m", "query", "label", "node", "payload"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), payload_kind]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for coarse, q_blocks, m_blocks, unlinked, label, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                salt = zlib.crc32(b"%d" % doc)
-                out += [(coarse, q, salt % m_blocks, 0, label, doc, text) for q in range(q_blocks)]
+            for group, q_blocks, m_blocks, unlinked, label, node, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                salt = zlib.crc32(b"%d" % node)
+                out += [(group, q, salt % m_blocks, 0, label, node, payload) for q in range(q_blocks)]
                 if unlinked:
-                    out += [(coarse, salt % q_blocks, m, 1, label, doc, text) for m in range(m_blocks)]
+                    out += [(group, salt % q_blocks, m, 1, label, node, payload) for m in range(m_blocks)]
             if out:
-                yield _batch(out, ["coarse", "q", "m", "query", "label", "doc_id", "text"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()])
+                yield _batch(out, names, kinds)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = shared_hasher()
         at, sides = None, ([], [])
         for batch in batches:
             out = []
-            for coarse, q, m, query, label, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != (coarse, q, m):
-                    out += links_in_blocks(sides[1], sides[0], percent)
-                    at, sides = (coarse, q, m), ([], [])
-                sides[query].append((doc, label, shingle_set(text, width, hasher)))
+            for group, q, m, query, label, node, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (group, q, m):
+                    out += links_in_blocks(sides[1], sides[0], by)
+                    at, sides = (group, q, m), ([], [])
+                sides[query].append((node, label, by.load(payload)))
             if out:
                 yield _batch(out, ["a", "b"], [pa.int64(), pa.int64()])
-        if out := links_in_blocks(sides[1], sides[0], percent):
+        if out := links_in_blocks(sides[1], sides[0], by):
             yield _batch(out, ["a", "b"], [pa.int64(), pa.int64()])
 
-    met = rows.select("coarse", "q_blocks", "m_blocks", "unlinked", "label", "doc_id", "text").mapInArrow(dealt, "coarse long, q int, m int, query int, label long, doc_id long, text string")
-    met = met.repartition(partitions(rows.sparkSession), "coarse", "q", "m").sortWithinPartitions("coarse", "q", "m")
+    met = rows.select("grp", "q_blocks", "m_blocks", "unlinked", "label", "node", "payload").mapInArrow(dealt, f"grp long, q int, m int, query int, label long, node long, payload {by.kind}")
+    met = met.repartition(partitions(rows.sparkSession), "grp", "q", "m").sortWithinPartitions("grp", "q", "m")
     return met.mapInArrow(compared, "a long, b long")
 
 
+def _met(labelled: DataFrame, payloads: DataFrame, by, most_rows: int, hot_rows: int) -> DataFrame:
+    """Links (a, b) in groups: ``labelled`` (grp, pivot, members, node), ``payloads`` (node, payload)."""
+    hot = {r.grp for r in labelled.where((F.col("members") > hot_rows) & (F.col("node") == F.col("pivot"))).select("grp").collect()}  # fewer than 1 / HOT_SHARE
+    first = durable(_against_pivot(merge_join(payloads, labelled.select("grp", "pivot", "node"), "node"), hot, by), "against-pivot")
+    links = first.where("linked and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    left = first.groupBy("grp").agg(
+        F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("open"), F.sum("size").alias("all_size"),
+        F.sum(F.when(F.col("linked"), 0).otherwise(F.col("size"))).alias("open_size"),
+    )
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(F.col(n) / most_rows), F.ceil(F.col(size) / BLOCK_SHINGLES)).cast("int")
+    left = durable(left.where("n > 2 and open > 0").select("grp", blocks("open", "open_size").alias("q_blocks"), blocks("n", "all_size").alias("m_blocks")), "left")
+    label = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("node"))
+    state = durable(merge_join(first, left, "grp").select("grp", "node", "q_blocks", "m_blocks", (~F.col("linked")).alias("unlinked"), label.alias("label")), "state")
+    more = durable(_among_rest(merge_join(payloads, state, "node"), by), "more-links")
+    links = durable(links.unionByName(more), "links")
+    forget(first, left, state, more)
+    return links
+
+
+def _labelled(groups: DataFrame, degree: DataFrame) -> DataFrame:
+    """(grp, pivot, members, node) of ``groups`` (node, component): the pivot is the member with the
+    most bucket neighbours, of several the first."""
+    central = F.max(F.struct("n", (-F.col("node")).alias("minus"))).alias("central")
+    pivots = merge_join(groups, degree, "node").groupBy("component").agg(central, F.count("*").alias("members"))
+    pivots = pivots.select("component", (-F.col("central.minus")).alias("pivot"), "members")
+    return durable(merge_join(groups, pivots, "component").select(F.col("component").alias("grp"), "pivot", "members", "node"), "labelled")
+
+
 def near_dedup(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``df`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -235,55 +333,58 @@ def near_dedup(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     spark = df.sparkSession
     ship_package(spark)
     bands, rows = bands_for(percent / 100)
-    docs = df.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
-    sketched = durable(_sketched(docs, width, bands, rows), "sketches")
-    classes = sketched.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("keys").alias("keys"))
-    classes = durable(classes, "classes")
+    docs = df.select(F.col("doc_id").cast("long"), text_of("text").alias("text")).withColumn("tid", F.xxhash64("text"))
+    sketched = durable(_sketched(docs.select("doc_id", "tid", "text"), width, bands, rows), "sketches")
+    known = sketched.where("digest is not null and doc_id is not null")
+    classes = known.groupBy("digest").agg(F.min(F.struct("doc_id", "tid")).alias("stands"), F.first("bins").alias("bins"), F.first("keys").alias("keys"))
+    # numbers that stay, since the table is written
+    classes = durable(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "stands.doc_id", "stands.tid", "bins", "keys"), "classes")
 
     # coarse groups: the graph of buckets
-    bucketed = durable(classes.select("doc_id", F.explode("keys").alias("key")), "bucketed")
-    buckets = bucketed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    bucketed = durable(classes.select("node", F.explode("keys").alias("key")), "bucketed")
+    buckets = bucketed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
     buckets = durable(buckets, "buckets")
-    tied = merge_join(bucketed, buckets, "key").groupBy("doc_id", "first").agg(F.sum("n").alias("n"))
-    tied = durable(tied, "tied")
+    tied = durable(merge_join(bucketed, buckets, "key").groupBy("node", "first").agg(F.sum("n").alias("n")), "tied")
     forget(bucketed, buckets)
-    coarse = durable(connected_components(tied.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))), "coarse")
-    degree = tied.groupBy("doc_id").agg(F.sum("n").alias("n")).withColumnRenamed("doc_id", "node")
-    central = F.max(F.struct("n", (-F.col("node")).alias("minus"))).alias("central")
-    groups = coarse.join(degree, "node").groupBy("component").agg(central, F.count("*").alias("members"))
-    groups = durable(groups.select("component", (-F.col("central.minus")).alias("pivot"), "members"), "groups")
-    labelled = durable(coarse.join(groups, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("coarse"), "pivot", "members"), "labelled")
-    forget(tied, coarse)
-
-    # a row for each candidate with its text
-    texts = merge_join(docs, labelled.drop("members"), "doc_id")
-    texts = durable(texts.dropDuplicates(["doc_id"]) if _repeats(sketched) else texts, "texts")
-    least = max(1000, int(sketched.count() * HOT_SHARE))
-    hot = {r.component: r.pivot for r in groups.where(F.col("members") > least).collect()}  # fewer than 1 / HOT_SHARE
-    first = durable(_against_pivot(texts, hot, width, percent), "against-pivot")
-    links = first.where("linked and doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
-
-    left = first.groupBy("coarse").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("open"), F.sum("size").alias("all_size"), F.sum(F.when(F.col("linked"), 0).otherwise(F.col("size"))).alias("open_size"))
-    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK_SHINGLES)).cast("int")
-    left = durable(left.where("n > 2 and open > 0").select("coarse", blocks("open_size").alias("q_blocks"), blocks("all_size").alias("m_blocks")), "left")
-    state = durable(first.join(left, "coarse").select("doc_id", "q_blocks", "m_blocks", (~F.col("linked")).alias("unlinked"), F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("doc_id")).alias("label")), "state")
-    more = durable(_among_rest(merge_join(texts, state, "doc_id"), width, percent), "more-links")
-
-    fine = durable(connected_components(links.unionByName(more)), "components")
-    forget(labelled, groups, texts, first, left, state, more)
-    of_class = classes.select("digest", F.col("doc_id").alias("node")).join(fine, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    coarse = durable(connected_components(tied.select(F.col("node").alias("a"), F.col("first").alias("b"))), "coarse")
+    degree = durable(tied.groupBy("node").agg(F.sum("n").alias("n")), "degree")
+    hot_rows = max(1000, int(sketched.count() * HOT_SHARE))
+
+    # fine groups: those whose sketches agree; then links of full sets
+    labelled = _labelled(coarse, degree)
+    bins = durable(merge_join(classes.select("node", F.col("bins").alias("payload")), labelled.select("node"), "node"), "bins")
+    ties = _met(labelled, bins, ByBins(bins_in_common(percent / 100, bands * rows)), BLOCK_SKETCHES, hot_rows)
+    forget(tied, coarse, labelled, bins)
+    fine = durable(connected_components(ties), "fine")
+    labelled = _labelled(fine, degree)
+    stands = merge_join(classes.select("node", "doc_id", "tid"), labelled.select("node"), "node")
+    texts = merge_join(docs, stands, ["doc_id", "tid"]).select("node", F.col("text").alias("payload"))
+    ids = known.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    repeats = ids.n != ids.ids
+    texts = durable(texts.dropDuplicates(["node"]) if repeats else texts, "texts")
+    links = _met(labelled, texts, BySets(width, percent), BLOCK_TEXTS, hot_rows)
+    forget(ties, fine, labelled, degree, texts)
+
+    # what an id's texts are linked with is linked
+    if repeats:
+        of_id = merge_join(known.select("doc_id", "digest").distinct(), classes.select("digest", "node"), "digest")
+        least = of_id.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least < last")
+        both = merge_join(of_id, least, "doc_id").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+        whole = durable(links.unionByName(both), "links-of-ids")
+        forget(links)
+        links = whole
+    components = durable(connected_components(links), "components")
+    named = merge_join(components, classes.select("node", "doc_id"), "node")
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = durable(merge_join(named, smallest, "component").select("node", "least"), "named")
+    of_class = merge_join(classes.select("digest", "node", "doc_id"), named, "node", "left").select("digest", F.coalesce("least", "doc_id").alias("component_id"))
     of_class = durable(of_class, "of-class")
-    forget(classes, fine)
+    forget(links, components, named, classes)
     alone = sketched.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    tied_rows = merge_join(sketched.where("doc_id is not null").drop("keys"), of_class, "digest").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    tied_rows = merge_join(known.drop("keys", "bins"), of_class, "digest").select("doc_id", "n_shingles", "component_id")
     return tied_rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _repeats(sketched: DataFrame) -> bool:
-    row = sketched.where("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
-    return row.n != row.ids
-
-
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Near duplicates among every whole text of ``documents``: 3-word shingles, 85 per cent."""
     return near_dedup(read_table(spark, sf_dir, "documents"), 3, 85)

@@ -116,6 +116,7 @@ def chained(n, seed, edits):
 
 def test_op4_groups_whose_members_differ_more_than_the_base(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK_SHINGLES", 2000)  # several blocks
+    monkeypatch.setattr(M, "BLOCK_SKETCHES", 16)
     monkeypatch.setattr(M, "HOT_SHARE", 1e-9)
     rows = [r for seed in range(1, 5) for r in chained(60, seed, 6)]
     want = brute_near(rows, 3, 85)
@@ -123,6 +124,27 @@ def test_op4_groups_whose_members_differ_more_than_the_base(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
 
 
+def test_op4_texts_that_share_an_id_are_all_compared(spark):
+    """In any order of rows: id 5 has two texts, each with a near copy of its own."""
+    rng = random.Random(12)
+    a, b = ([f"{x}{rng.randrange(10**6)}" for _ in range(90)] for x in "ab")
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*a, "end"])), (8, " ".join([*b, "end"])), (9, "alone in this table"), (8, " ".join([*b, "end"]))]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        out = M.near_dedup(spark.createDataFrame(order, "doc_id long, text string").repartition(2), 3, 85).collect()
+        assert len(out) == len(rows) and {(r.doc_id, r.component_id, r.kept) for r in out} == {(5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True)}
+
+
+def test_op4_a_shared_passage_puts_unlike_texts_into_buckets_only(spark):
+    """Half of each text is common, so many share buckets; the sketches part them again."""
+    rng = random.Random(13)
+    common = [f"c{i}" for i in range(80)]
+    rows = [(i, " ".join([*common, *(f"w{rng.randrange(10**6)}" for _ in range(60))])) for i in range(150)]
+    rows += [(1000 + i, rows[i][1].replace("w", "v", 1)) for i in range(20)]
+    want = brute_near(rows, 3, 85)
+    out = M.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
+
+
 def test_sketches_fill_and_estimate(spark):
     hasher, sketcher = WordHasher(), M.Sketcher(180)
     rng = random.Random(2)
