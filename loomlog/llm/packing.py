@@ -7,8 +7,13 @@ individual is a list of bins, its fitness the number of bins, then how unevenly
 other, drops the bins that hold a piece twice and puts the pieces they leave back by best fit,
 largest first. Each island has a few demes, whose elites migrate in a ring between epochs; between
 islands the badly filled bins of each elite migrate: their pieces are dealt to the next round's
-islands, together with those of all others, until one island is left. A round keeps about one bin in
-a thousand for the next, so rounds are few at any size.
+islands, together with those of all others, until one island is left. A round sends few bins on to
+the next, so rounds are few at any size: where more than half of the pieces would migrate again, since no
+island can fill its bins to ``keep_fill``, later rounds have half as many islands each and send on the
+weakest bin of each island only. So the rounds end without a bound on their number.
+
+Plain best fit decreasing is the first individual. An island whose best fit needs no more bins than its
+tokens alone require is finished there; README says how often that is so.
 
 Defined results: a null text counts as empty; an empty text is its end id alone; repeated rows are
 packed each; a null document id is kept; an empty table gives an empty table; extra columns are
@@ -175,22 +180,24 @@ def _island_round(pieces: DataFrame, capacity: int, n_islands: int, number: int,
 def pack(pieces: DataFrame, capacity: int = 2048, island_pieces: int = 4096, keep_fill: float = 0.995) -> DataFrame:
     """Pack ``pieces`` (see :func:`cut_pieces`); adds ``sequence_id`` and a gapless ``offset``.
 
-    ``island_pieces`` is the number of pieces an island gets on average, which bounds its task.
+    ``island_pieces`` is the number of pieces an island gets on average, which bounds its task
+    (a bin has no more pieces than tokens, so two bins an island are within the bound, too); bins filled
+    to less than ``keep_fill`` migrate.
     """
     done: list[DataFrame] = []
-    n, number = pieces.count(), 0
+    n, number, islands = pieces.count(), 0, 0
     while True:
-        islands = max(1, -(-n // island_pieces))
-        final = islands == 1 or number >= 30
-        out = durable(_island_round(pieces, capacity, islands, number, final, keep_fill), f"packing-{number}")
+        needed = max(1, -(-n // island_pieces))
+        islands = needed if keep_fill else min(needed, max(1, islands // 2))
+        out = durable(_island_round(pieces, capacity, islands, number, islands == 1, keep_fill), f"packing-{number}")
         done.append(out.where("sequence_id is not null"))
-        if final:
+        if islands == 1:
             break
         pieces = out.where("sequence_id is null").drop("sequence_id", "offset")
         before, n, number = n, pieces.count(), number + 1
         if n == 0:
             break
-        if n > 0.5 * before:  # no island could fill its bins: the next round closes them
+        if n > 0.5 * before:  # no island could fill its bins
             keep_fill = 0.0
     result = done[0]
     for more in done[1:]:

@@ -1,10 +1,11 @@
 """Token ids in Arrow IPC files of equal-length sequences, for zero-copy random access.
 
-Documents are dealt by ranges of their ids, so that the files, taken in order, hold them in
-ascending order. Each part is one Arrow IPC file whose record batches have the same number of rows
+Documents are dealt by ranges of their ids, and of a hash of the text where an id repeats or is null, so
+that the files, taken in order, hold them in ascending order. Each part is one Arrow IPC file whose record batches have the same number of rows
 and whose columns are fixed-size lists: ``ids`` (16-bit where the vocabulary allows, else 32-bit),
 ``mask`` (bits: real ids, not padding) and ``ends`` (bits: a document ends here). Sequence ``i`` is
-row ``i % rows`` of batch ``i // rows``; a memory map gives it without a copy. Documents run on
+row ``i % rows`` of batch ``i // rows``; a memory map gives its ids, and its masks as packed bits,
+without a copy, since lengths are multiples of eight. Documents run on
 from one sequence to the next; only the last sequence of a part is padded. Beside each file lies an
 index of the same format: document, place of its first id in the part, number of ids.
 
@@ -13,7 +14,7 @@ which Spark commits once. So a lost executor or a second attempt leaves unused f
 ones. Files are written with ``pyarrow.fs`` to the folder given, which all executors must share.
 
 Defined results: a null text counts as empty; an empty text is its end id alone; repeated rows are
-written each, in the order of their texts; a null document id sorts first; an empty table gives an
+written each, in the order of their texts' hashes; a null document id sorts first; an empty table gives an
 empty manifest; other columns are ignored.
 """
 
@@ -41,6 +42,8 @@ class SequenceWriter:
     """Packs a stream of ids into record batches of ``rows`` sequences of ``length`` ids."""
 
     def __init__(self, sink, length: int, rows: int, wide: bool):
+        if length % 8:
+            raise ValueError("the length of sequences is a multiple of eight, so that masks begin at a byte")
         self.length, self.rows = length, rows
         self.kind, self.ids_type = (np.uint32, pa.uint32()) if wide else (np.uint16, pa.uint16())
         self.schema = pa.schema([("ids", pa.list_(self.ids_type, length)), ("mask", pa.list_(pa.bool_(), length)), ("ends", pa.list_(pa.bool_(), length))])
@@ -89,9 +92,15 @@ class SequenceReader:
         return 0 if n == 0 else (n - 1) * self.file.get_batch(0).num_rows + self.file.get_batch(n - 1).num_rows
 
     def sequence(self, i: int) -> dict[str, np.ndarray]:
+        """Views of sequence ``i``: ids, and masks as packed bits (see :func:`unpacked`)."""
         rows = self.file.get_batch(0).num_rows
-        batch = self.file.get_batch(i // rows)
-        return {n: batch.column(n)[i % rows].values.to_numpy(zero_copy_only=n == "ids") for n in ("ids", "mask", "ends")}
+        batch, at = self.file.get_batch(i // rows), i % rows * self.length
+        out = {"ids": batch.column("ids").values.to_numpy()[at : at + self.length]}
+        for name in ("mask", "ends"):
+            bits = batch.column(name).values
+            start = (bits.offset + at) // 8
+            out[name] = np.frombuffer(bits.buffers()[1], np.uint8)[start : start + self.length // 8]
+        return out
 
     def flat(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from ``start`` on, as views into the batches that hold them."""
@@ -106,6 +115,11 @@ class SequenceReader:
         return (self.file.get_batch(i) for i in range(self.file.num_record_batches))
 
 
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    """A mask of :meth:`SequenceReader.sequence` as booleans."""
+    return np.unpackbits(bits, bitorder="little").view(bool)
+
+
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -147,8 +161,9 @@ def write_token_files(df: DataFrame, tokenizer_path: str, end_id: int, folder: s
             kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in MANIFEST.split(", ")])
 
-    dealt = df.select(F.col("doc_id").cast("long"), text_of("text").alias("text")).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return durable(dealt.mapInArrow(run, MANIFEST), "manifest")
+    docs = df.select(F.col("doc_id").cast("long"), text_of("text").alias("text")).withColumn("tid", F.xxhash64("text"))
+    dealt = docs.repartitionByRange(partitions(spark), "doc_id", "tid").sortWithinPartitions("doc_id", "tid")
+    return durable(dealt.select("doc_id", "text").mapInArrow(run, MANIFEST), "manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
