@@ -9,8 +9,9 @@ grown on two thirds of the rows condition by condition (information gain), prune
 from the end, and rows that a rule covers are set aside. The list becomes one ordered conditional
 expression: the first rule that holds rejects, no rule keeps.
 
-Learning takes a bounded sample of labelled rows (``max_rows``), numbers only; everything else
-covers all rows and whole texts.
+Learning takes a bounded sample of labelled rows (``max_rows``), numbers only, and makes a list of
+bounded length (``max_rules`` of ``max_conditions``), so that the expression stays small; everything
+else covers all rows and whole texts.
 
 Defined results: null counts as empty; an empty text has zero statistics and fails the base; no
 labels of both kinds, no rules (all that pass the base are kept); repeated rows get the same
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, read_table, text_of
 
-#: Labelled rows the list is learned from, at most.
-MAX_ROWS = 8000
+#: Labelled rows the list is learned from, conditions of a rule and rules of a list, at most.
+MAX_ROWS, MAX_CONDITIONS, MAX_RULES = 8000, 6, 50
 #: Place bits of a window's number; longer texts take a slower way.
 PLACE_BITS = 24
 _MASK = (1 << PLACE_BITS) - 1
@@ -157,9 +158,9 @@ def _covers(rule: Rule, row: dict[str, float]) -> bool:
     return all(c.holds(row) for c in rule)
 
 
-def grow(rows: list[tuple[dict, int]], most_conditions: int = 6) -> Rule:
+def grow(rows: list[tuple[dict, int]], max_conditions: int = MAX_CONDITIONS) -> Rule:
     rule: Rule = ()
-    while len(rule) < most_conditions and any(not y for _, y in rows) and any(y for _, y in rows):
+    while len(rule) < max_conditions and any(not y for _, y in rows) and any(y for _, y in rows):
         condition = _best_condition(rows)
         if condition is None:
             break
@@ -182,14 +183,14 @@ def prune(rule: Rule, rows: list[tuple[dict, int]]) -> Rule:
     return best
 
 
-def learn(rows: list[tuple[dict, int]], least_precision: float = 0.8, least_covered: int = 4) -> list[Rule]:
+def learn(rows: list[tuple[dict, int]], least_precision: float = 0.8, least_covered: int = 4, max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS) -> list[Rule]:
     """Ordered rules for label 1 (reject) by sequential covering."""
     rules: list[Rule] = []
     left = list(rows)
-    while any(y for _, y in left) and len(rules) < 50:
+    while any(y for _, y in left) and len(rules) < max_rules:
         growing = [r for i, r in enumerate(left) if i % 3 < 2]
         pruning = [r for i, r in enumerate(left) if i % 3 == 2]
-        rule = grow(growing)
+        rule = grow(growing, max_conditions)
         if not rule:
             break
         rule = prune(rule, pruning)
@@ -213,17 +214,18 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def learn_rules(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[Rule]:
+def learn_rules(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS) -> list[Rule]:
     """Learn from the statistics of at most ``max_rows`` labelled rows, chosen by a hash of their
     ids (quality 0: reject)."""
     told = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 0).cast("int").alias("reject"))
     sample = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     sample = docs.sparkSession.createDataFrame(sample.collect(), told.schema)  # bounded; broadcast next
     numbers = text_statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).where(~base_failed())
-    found = numbers.select("doc_id", "reject", *(f().alias(n) for n, f in FEATURES.items())).collect()
+    found = numbers.select("doc_id", "reject", *(f().alias(n) for n, f in FEATURES.items()))
+    found = found.orderBy(F.xxhash64("doc_id"), *found.columns).limit(max_rows).collect()  # an id may have many rows
     found.sort(key=lambda r: (hash((r.doc_id * 2654435761) % (1 << 32)), tuple(r)))
     rows = [({n: r[n] for n in FEATURES}, r.reject) for r in found]
-    return learn(rows) if len({y for _, y in rows}) == 2 else []
+    return learn(rows, max_rules=max_rules, max_conditions=max_conditions) if len({y for _, y in rows}) == 2 else []
 
 
 def apply_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -233,7 +235,8 @@ def apply_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """Judge every whole text of ``documents`` by the base and a list learned from ``labels``."""
+    """Judge every whole text of ``documents`` by the base and a list learned from ``labels``: of
+    8000 rows at most, with 50 rules of 6 conditions at most."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = learn_rules(docs, read_table(spark, sf_dir, "labels"))
     return apply_rules(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -10,8 +10,9 @@ tokens above one half are the offending offsets, and the expected number of toxi
 document's score, calibrated by a logistic curve on the labelled documents.
 
 All words without a weight share one transition matrix, so a run of them is a power of it and
-costs one step. Fitting takes a bounded sample (``max_documents``); scoring takes whole texts and
-streams through them.
+costs one step. A word without a weight is clean in every labelled document, so its marginal tends
+to nothing and isn't counted. Fitting takes a bounded sample (``max_documents``, ``max_chars``); scoring
+takes whole texts and streams through them.
 
 Defined results: null counts as empty; empty texts and texts without a weighted word get the
 score of no evidence; without labels of both kinds every score is next to 0; repeated rows are scored each;
@@ -37,8 +38,8 @@ from .common import read_table, text_of
 from .minhash import shingle_set, similar
 from .word_hash import WordHasher
 
-#: Labelled documents that the field is fitted on, at most.
-MAX_DOCUMENTS = 4000
+#: Labelled rows that the field is fitted on, at most, and their characters in all, at most.
+MAX_DOCUMENTS, MAX_CHARS = 4000, 40_000_000
 SEGMENT = 48
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -250,19 +251,22 @@ def fit(texts: Iterable[str], labels: Iterable[int], rounds: int = 60, rate: flo
     del merged
     number = {c: i + 1 for i, c in enumerate(lexicon)}
     of_word = {w: number.get(class_of(w, number) or "", 0) for ws in words for w in set(ws)}
-    # segments of tokens as numbers, 0 for all other words; those without a known class are many, so
-    # a like number of them stands for all with the weight that makes up for the rest
-    told, plain = [], []
+    # segments of tokens as numbers, 0 for all other words; those without a known class have no toxic
+    # tag and differ by their length alone, so one of each length stands for all, as often as they are
+    told: list[tuple[list[int], int]] = []
+    plain: Counter = Counter()
     for ws, label in zip(words, labels, strict=True):
         ids = [of_word[w] for w in ws]
         for at in range(0, len(ids), SEGMENT):
             part = ids[at : at + SEGMENT]
-            (told if any(part) else plain).append((part, label))
-    stands = plain[:: max(1, len(plain) // max(200, len(told)))]
-    segments = told + stands
+            if any(part):
+                told.append((part, label))
+            else:
+                plain[len(part)] += 1
     if not told:
         return Field(curve=(_logit(sum(labels) / len(labels)), 0.0, 0.0))
-    weight = np.array([1.0] * len(told) + [len(plain) / max(1, len(stands))] * len(stands))
+    segments = told + [([0] * n, 0) for n in sorted(plain)]
+    weight = np.array([1.0] * len(told) + [float(plain[n]) for n in sorted(plain)])
     x = np.full((len(segments), SEGMENT), 0)
     real = np.zeros((len(segments), SEGMENT), bool)
     y = np.zeros((len(segments), SEGMENT), np.int64)
@@ -339,16 +343,27 @@ def in_held_out(doc_id) -> F.Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS) -> Field:
-    """Fit on at most ``max_documents`` labelled rows, chosen by a hash of their ids, without the
-    held-out quarter."""
+def fit_on_labels(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS, max_chars: int = MAX_CHARS) -> Field:
+    """Fit on labelled rows without the held-out quarter: the first ``max_documents`` by a hash of
+    their ids, of these as many as have ``max_chars`` characters in all. So what the driver gathers
+    is bounded, whatever rows an id has."""
     told = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     told = told.where(~in_held_out(F.col("doc_id")))
     sample = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
     spark = docs.sparkSession
     sample = spark.createDataFrame(sample.collect(), "doc_id long, toxic int")  # bounded; broadcast next
-    rows = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    rows = sorted((r.text, r.toxic) for r in rows.collect())
+    texts = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text")).withColumn("tid", F.xxhash64("text"))
+    # copies of a text in one id count once; numbers first, then the texts of those chosen
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "tid").agg(F.max(F.length("text")).alias("n"), F.max("toxic").alias("toxic"))
+    chosen, left = [], max_chars
+    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "tid").limit(max_documents).collect():
+        left -= r.n
+        if left < 0:
+            break
+        chosen.append((r.doc_id, r.tid, r.toxic))
+    chosen = spark.createDataFrame(chosen, "doc_id long, tid long, toxic int")
+    found = texts.join(F.broadcast(chosen), ["doc_id", "tid"]).dropDuplicates(["doc_id", "tid"]).select("text", "toxic")
+    rows = sorted((r.text, r.toxic) for r in found.collect())
     return fit((t for t, _ in rows), (y for _, y in rows))
 
 

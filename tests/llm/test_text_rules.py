@@ -121,6 +121,23 @@ def test_op10_held_out_quality(spark):
     assert right >= 0.97 * len(rows)
 
 
+def test_op10_verdict_on_rows_it_was_not_learned_from(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    rules = Q.learn_rules(docs, labels.where(~held))
+    assert 0 < len(rules) <= Q.MAX_RULES and all(len(r) <= Q.MAX_CONDITIONS for r in rules)
+    rows = Q.apply_rules(docs.select("doc_id", "text"), rules).join(labels.where(held), "doc_id").where("not base_failed").collect()
+    right = sum(r.kept == (r.quality == 1) for r in rows)
+    assert len(rows) > 500 and right >= 0.97 * len(rows)
+
+
+def test_op10_bounds_of_the_list(spark):
+    rng = random.Random(3)
+    rows = [(row(symbols_per_word=(s := rng.random()), marks_per_word=(m := rng.random())), int(s > 0.8 or (m > 0.7 and s < 0.3))) for _ in range(600)]
+    assert len(Q.learn(rows, max_rules=1)) == 1 and all(len(r) == 1 for r in Q.learn(rows, max_conditions=1))
+
+
 def test_licenses_normalise_and_match(spark, no_docs):
     mit = "Copyright (c) 2020 Someone\n\n" + L._MIT.replace("software", "SOFTWARE").replace("sublicense", "sub-license").replace(", ", " ,\n")
     rows = [(1, mit), (2, "text\nReleased under the  MIT Licence\nmore"), (3, None), (4, ""), (5, L._MIT + " and more"), (6, "a\n\n" + L._GPL3_NOTICE.split("\n\n")[0]), (7, "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: ISC"), (None, "x"), (8, "x " * 50_000), (2, "y")]
@@ -194,6 +211,30 @@ def test_op3_held_out_accuracy(spark):
     assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic) and sum(r.predicted for r in rows if r.toxic == 0) <= 0.01 * len(rows)
 
 
+def test_the_fit_gathers_a_bounded_sample(spark, monkeypatch):
+    """However many rows an id has: numbers of rows and of characters are both bounded."""
+    docs = spark.createDataFrame([(1, f"text {i % 5} " + "x" * 100) for i in range(300)] + [(2, "vile " * 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(T, "fit", lambda texts, labels: seen.append((list(texts), list(labels))))
+    T.fit_on_labels(docs, labels)
+    T.fit_on_labels(docs, labels, max_documents=2)
+    T.fit_on_labels(docs, labels, max_chars=250)
+    assert len(seen[0][0]) == 6 and sorted(seen[0][1]) == [0] * 5 + [1]
+    assert len(seen[1][0]) == 2 and sum(map(len, seen[2][0])) <= 250 and len(seen[2][0]) >= 1
+
+
+def test_plain_segments_count_exactly(monkeypatch):
+    """Segments without a known word are grouped by length, none is left out."""
+    rng = random.Random(2)
+    texts = [" ".join(["vile" if i % 3 == 0 and k == 7 else f"u{rng.randrange(400)}" for k in range(60 + 7 * (i % 9))]) for i in range(90)]
+    seen = {}
+    ascend = T._ascend
+    monkeypatch.setattr(T, "_ascend", lambda x, y, real, weight, *rest: seen.update(n=float((real.sum(1) * weight).sum()), rows=len(x)) or ascend(x, y, real, weight, *rest))
+    T.fit(texts, [int(i % 3 == 0) for i in range(90)])
+    assert seen["n"] == sum(len(T.WORD.findall(t)) for t in texts) and seen["rows"] < 90
+
+
 def test_near_copies_count_once():
     rng = random.Random(8)
     base = [f"w{rng.random()}" for _ in range(80)]
