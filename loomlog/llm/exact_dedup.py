@@ -9,8 +9,12 @@ themselves stored as many chunk rows, each hashed in parallel.
 Equal fingerprints are no proof: the rows of a fingerprint meet, the row that would stay first, and
 a task streams through them, comparing each with the first chunk by chunk; it holds one reference
 text. Fingerprints with over 1/1024 of all rows (so at most 1024 of them) are hot: their rows are
-dealt over salts and the reference text is copied to each salt, so that no group gathers in one
-task. Group sizes and the row that stays come from aggregates, never from collected groups.
+dealt over salts by their place in the table, whatever their ids, and a copy of the row that stays
+goes to each salt, so that no group gathers in one task. Group sizes and the row that stays come
+from aggregates, never from collected groups.
+
+A text of ``HUGE`` characters or more doesn't take its print in one call: its chunks become rows,
+hashed in parallel, and the prints combine.
 
 Defined results: null counts as empty; all texts without a character other than white space are
 equal; of equal texts the one with the most code points stays, then the smallest doc_id, then any
@@ -20,15 +24,15 @@ one of rows that repeat whole; an empty table gives an empty table; extra column
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship_package
-from .common import SPACES, durable, forget, partitions, read_table, text_of
+from .common import SPACES, durable, forget, merge_join, partitions, read_table, text_of
 
 #: The largest prime below 2**128.
 MODULUS = (1 << 128) - 159
@@ -36,6 +40,8 @@ CHUNK = 1 << 16
 #: A fingerprint is hot if it has more than this share of the rows.
 HOT_SHARE = 1 / 1024
 SALTS = 64
+#: Characters from which on a text is hashed as chunk rows, and characters of such a row.
+HUGE, CHUNK_CHARS = 1 << 24, 1 << 20
 
 _DELETE = SPACES.encode()
 
@@ -72,6 +78,7 @@ def fingerprint_chunks(chunks: DataFrame) -> DataFrame:
     Chunks are hashed where they lie; only (number, print, length) meet. A null chunk is empty.
     """
     ship_package(chunks.sparkSession)
+    id_kind = chunks.schema["doc_id"].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,79 +93,89 @@ def fingerprint_chunks(chunks: DataFrame) -> DataFrame:
             out, size = combine(out, int.from_bytes(part, "big"), n), size + n
         return pa.table({"doc_id": table.column("doc_id")[:1], "fingerprint": pa.array([out.to_bytes(16, "big")], pa.binary()), "n_bytes": [size]})
 
-    rows = chunks.select(F.col("doc_id").cast("long"), F.col("chunk_no").cast("long"), F.col("chunk").cast("string"))
-    hashes = rows.mapInArrow(hashed, "doc_id long, chunk_no long, fingerprint binary, n_bytes long")
-    return hashes.groupBy("doc_id").applyInArrow(joined, "doc_id long, fingerprint binary, n_bytes long")
-
+    rows = chunks.select("doc_id", F.col("chunk_no").cast("long"), F.col("chunk").cast("string"))
+    hashes = rows.mapInArrow(hashed, f"doc_id {id_kind}, chunk_no long, fingerprint binary, n_bytes long")
+    return hashes.groupBy("doc_id").applyInArrow(joined, f"doc_id {id_kind}, fingerprint binary, n_bytes long")
 
-def _fingerprints(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = [fingerprint(normalised(x)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), batch.column(2)], ["doc_id", "fingerprint", "n_chars"])
 
-    return docs.mapInArrow(run, "doc_id long, fingerprint binary, n_chars long")
+def _documents(df: DataFrame, carry: bool = False) -> DataFrame:
+    """(doc_id, tid, n_chars, text), and ``row`` with ``carry``."""
+    row = [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")] if carry else []
+    docs = df.select(F.col("doc_id").cast("long"), text_of("text").alias("text"), *row)
+    return docs.select("doc_id", F.xxhash64("text").alias("tid"), F.length("text").cast("long").alias("n_chars"), "text", *(["row"] if carry else []))
 
 
-def _compared(docs: DataFrame, hot: dict[bytes, int], n: int) -> DataFrame:
-    """Every row with the class of its text: doc_id, n_chars, text_sha256, same_as."""
-    hot_rows = docs.sparkSession.sparkContext.broadcast(hot)
-    names = ["fingerprint", "salt", "reference", "n_chars", "doc_id", "body"]
-    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+def _fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, tid, n_chars, fingerprint); null for huge texts, whose chunks are hashed apart."""
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = hot_rows.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, text, n_chars in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                body = normalised(text)
-                key = fingerprint(body)
-                if key not in hot:
-                    out.append((key, 0, 0, n_chars, doc, body))
-                    continue
-                salt = zlib.crc32(b"%d" % (doc or 0)) % SALTS
-                out.append((key, salt, 0, n_chars, doc, body))
-                if doc == hot[key]:  # the row that stays goes to every other salt as a reference
-                    out += [(key, s, 1, n_chars, doc, body) for s in range(SALTS) if s != salt]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            prints = [None if x is None else fingerprint(normalised(x)) for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints, pa.binary())], ["doc_id", "tid", "n_chars", "fingerprint"])
+
+    small = F.when(F.col("n_chars") < HUGE, F.col("text"))
+    return docs.select("doc_id", "tid", "n_chars", small.alias("text")).mapInArrow(run, "doc_id long, tid long, n_chars long, fingerprint binary")
 
-    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, references = None, []
-        for batch in batches:
-            out = []
-            for key, salt, reference, n_chars, doc, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != (key, salt):
-                    at, references = (key, salt), []
-                same = next((i for i, x in enumerate(references) if same_bytes(x, body)), None)
-                if same is None:
-                    same = len(references)
-                    references.append(body)
-                if not reference:
-                    digest = hashlib.sha256(body).hexdigest()
-                    out.append((doc, n_chars, digest, f"{key.hex()}{'' if same == 0 else f' {same} {digest}'}"))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_chars", "text_sha256", "same_as"])
 
-    met = docs.mapInArrow(dealt, "fingerprint binary, salt int, reference int, n_chars long, doc_id long, body binary")
-    met = met.repartition(n, "fingerprint", "salt").sortWithinPartitions("fingerprint", "salt", F.desc("n_chars"), "doc_id", "reference")
-    return met.mapInArrow(streamed, "doc_id long, n_chars long, text_sha256 string, same_as string")
+def _of_chunks(docs: DataFrame) -> DataFrame:
+    """(tid, fingerprint) of huge texts, by chunk rows."""
+    huge = docs.where(F.col("n_chars") >= HUGE).select("tid", "n_chars", "text").dropDuplicates(["tid"])
+    numbers = F.sequence(F.lit(0), F.ceil(F.col("n_chars") / CHUNK_CHARS).cast("int") - 1)
+    chunks = huge.select(F.col("tid").alias("doc_id"), "text", F.explode(numbers).alias("chunk_no"))
+    chunks = chunks.select("doc_id", "chunk_no", F.substr("text", F.col("chunk_no") * CHUNK_CHARS + 1, F.lit(CHUNK_CHARS)).alias("chunk"))
+    chunks = chunks.repartition(partitions(docs.sparkSession), "doc_id", "chunk_no")
+    return fingerprint_chunks(chunks).select(F.col("doc_id").alias("tid"), "fingerprint")
 
 
-def _hot_groups(docs: DataFrame) -> dict[bytes, int]:
-    """Hot fingerprints and the id of the row that stays: fewer than 1 / HOT_SHARE, whatever the input."""
+def _dealt(docs: DataFrame) -> DataFrame:
+    """``docs`` of :func:`_documents` -> with fingerprint, salt and reference: rows that may be equal
+    have the first two in common, and a hot group has a reference in each salt, the row that stays."""
+    spark = docs.sparkSession
     prints = durable(_fingerprints(docs), "fingerprints")
-    most = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus_id")))
-    groups = prints.groupBy("fingerprint").agg(F.count("*").alias("n"), most.alias("stays"))
+    of_chunks = None if prints.where("fingerprint is null").isEmpty() else durable(_of_chunks(docs), "huge-fingerprints")
+    every = prints.where("fingerprint is not null").select("doc_id", "tid", "n_chars", "fingerprint")
+    if of_chunks is not None:
+        every = every.unionByName(merge_join(prints.where("fingerprint is null").drop("fingerprint"), of_chunks, "tid"))
+    stays = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus_id"), "tid")).alias("stays")
+    groups = every.groupBy("fingerprint").agg(F.count("*").alias("n"), stays)
     least = max(1000, int(prints.count() * HOT_SHARE))
-    hot = groups.where(F.col("n") > least).select("fingerprint", "stays.minus_id").collect()
+    # fewer than 1 / HOT_SHARE, whatever the input
+    hot = [(bytes(r.fingerprint), None if r.minus_id is None else -r.minus_id, r.tid) for r in groups.where(F.col("n") > least).select("fingerprint", "stays.minus_id", "stays.tid").collect()]
     forget(prints)
-    return {bytes(r.fingerprint): -r.minus_id for r in hot if r.minus_id is not None}
+    known = spark.sparkContext.broadcast({key for key, _, _ in hot})
+
+    columns = [f for f in docs.schema.fields if f.name != "print"]
+    rows = docs.withColumn("print", F.lit(None).cast("binary"))
+    if of_chunks is not None:
+        huge = merge_join(docs.where(F.col("n_chars") >= HUGE), of_chunks.withColumnRenamed("fingerprint", "print"), "tid")
+        rows = rows.where(F.col("n_chars") < HUGE).unionByName(huge)
+    # a row's place in the table deals it, so that repeats of a row spread, too
+    rows = rows.select("*", F.lit(0).alias("reference"), F.monotonically_increasing_id().alias("place"))
+    if hot:
+        those = F.broadcast(spark.createDataFrame(hot, "print binary, hot_id long, hot_tid long"))
+        first = docs.join(those, docs["doc_id"].eqNullSafe(F.col("hot_id")) & (docs["tid"] == F.col("hot_tid"))).dropDuplicates(["print"])
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("place")
+        rows = rows.unionByName(first.select(*docs.columns, "print", F.lit(1).alias("reference"), copies))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = known.value
+        for batch in batches:
+            keys, salts = [], []
+            for text, given, place in zip(*(batch.column(c).to_pylist() for c in ("text", "print", "place")), strict=True):
+                key = fingerprint(normalised(text)) if given is None else given
+                keys.append(key)
+                salts.append(place % SALTS if key in hot else 0)
+            kept = [batch.column(f.name) for f in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(salts, pa.int32()), batch.column("reference"), *kept], ["fingerprint", "salt", "reference", *(f.name for f in columns)])
+
+    schema = T.StructType([T.StructField("fingerprint", T.BinaryType()), T.StructField("salt", T.IntegerType()), T.StructField("reference", T.IntegerType()), *columns])
+    return rows.mapInArrow(run, schema)
 
-def _documents(df: DataFrame) -> DataFrame:
-    docs = df.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
-    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+def _met(dealt: DataFrame) -> DataFrame:
+    """Rows that may be equal side by side, the row that stays first."""
+    order = ["fingerprint", "salt", F.desc("reference"), F.desc("n_chars"), F.asc_nulls_last("doc_id")]
+    return dealt.repartition(partitions(dealt.sparkSession), "fingerprint", "salt").sortWithinPartitions(*order)
 
 
 def drop_exact_copies(df: DataFrame) -> DataFrame:
@@ -168,61 +185,59 @@ def drop_exact_copies(df: DataFrame) -> DataFrame:
     one come last), then any one of rows that repeat whole. A text that differs from the reference
     of a hot fingerprint, which takes a collision of 128 bits, is compared within its salt only.
     """
-    spark = df.sparkSession
-    ship_package(spark)
-    hot_rows = spark.sparkContext.broadcast(_hot_groups(_documents(df)))
-    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
-    docs = whole.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.length(text_of("row.text")).cast("long").alias("n_chars"), "row")
-    kind = whole.schema["row"].dataType.simpleString()
-    keys = ["fingerprint", "salt", "reference"]
-
-    def texts(batch: pa.RecordBatch) -> list[bytes]:
-        return [normalised(x) for x in batch.column("row").field("text").to_pylist()]
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = hot_rows.value
-        for batch in batches:
-            out = []
-            for i, (doc, body) in enumerate(zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True)):
-                key = fingerprint(body)
-                salt = zlib.crc32(b"%d" % (doc or 0)) % SALTS if key in hot else 0
-                out.append((i, key, salt, 0))
-                if key in hot and doc == hot[key]:
-                    out += [(i, key, s, 1) for s in range(SALTS) if s != salt]
-            at, *columns = zip(*out, strict=True) if out else ([], [], [], [])
-            rows = batch.take(pa.array(at, pa.int32()))
-            made = [pa.array(x, k) for x, k in zip(columns, (pa.binary(), pa.int32(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*made, *rows.columns], [*keys, *rows.schema.names])
+    ship_package(df.sparkSession)
+    docs = _documents(df, carry=True)
+    kind = docs.schema["row"].dataType.simpleString()
+    # the text is in the row already
+    met = _met(_dealt(docs).drop("text", "tid"))
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, references = None, []
         for batch in batches:
             stay = []
-            for key, salt, reference, body in zip(*(batch.column(k).to_pylist() for k in keys), texts(batch), strict=True):
+            texts = batch.column("row").field("text").to_pylist()
+            for key, salt, reference, text in zip(*(batch.column(k).to_pylist() for k in ("fingerprint", "salt", "reference")), texts, strict=True):
                 if at != (key, salt):
                     at, references = (key, salt), []
+                body = normalised(text)
                 new = not any(same_bytes(x, body) for x in references)
                 if new:
                     references.append(body)
-                stay.append(new and not reference)
+                stay.append(new and not (reference and salt))  # one salt's reference is the row itself
             yield batch.filter(pa.array(stay, pa.bool_())).select(["row"])
 
-    met = docs.mapInArrow(dealt, f"fingerprint binary, salt int, reference int, doc_id long, n_chars long, row {kind}")
-    order = ["fingerprint", "salt", F.desc("n_chars"), F.asc_nulls_last("doc_id"), F.desc("reference")]
-    met = met.repartition(partitions(spark), "fingerprint", "salt").sortWithinPartitions(*order)
     return met.mapInArrow(streamed, f"row {kind}").select("row.*")
 
 
 def exact_dedup(df: DataFrame) -> DataFrame:
     """Per row of ``df`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = df.sparkSession
-    ship_package(spark)
-    docs = _documents(df)
-    rows = _compared(docs, _hot_groups(docs), partitions(spark)).withColumn("row", F.monotonically_increasing_id())
-    rows = durable(rows, "compared")
+    ship_package(df.sparkSession)
+    met = _met(_dealt(_documents(df)).drop("tid"))
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, references = None, []
+        for batch in batches:
+            out = []
+            for key, salt, reference, doc, n_chars, text in zip(*(batch.column(c).to_pylist() for c in ("fingerprint", "salt", "reference", "doc_id", "n_chars", "text")), strict=True):
+                if at != (key, salt):
+                    at, references = (key, salt), []
+                body = normalised(text)
+                same = next((i for i, x in enumerate(references) if same_bytes(x, body)), None)
+                if same is None:
+                    same = len(references)
+                    references.append(body)
+                if not reference:
+                    digest = hashlib.sha256(body).hexdigest()
+                    out.append((doc, n_chars, digest, f"{key.hex()}{'' if same == 0 else f' {digest}'}"))
+            columns = zip(*out, strict=True) if out else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["doc_id", "n_chars", "text_sha256", "same_as"])
+
+    rows = met.mapInArrow(streamed, "doc_id long, n_chars long, text_sha256 string, same_as string")
+    rows = durable(rows.withColumn("row", F.monotonically_increasing_id()), "compared")
     stays = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus_id"), (-F.col("row")).alias("minus_row")))
     sizes = durable(rows.groupBy("same_as").agg(F.count("*").alias("group_size"), stays.alias("stays")), "groups")
-    return rows.join(sizes, "same_as").select(
+    return merge_join(rows, sizes, "same_as").select(
         "doc_id",
         (-F.col("stays.minus_id")).alias("keep_id"),
         "group_size",

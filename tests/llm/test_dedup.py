@@ -54,6 +54,27 @@ def test_op8_hot_groups_are_salted_and_whole(spark, monkeypatch):
     assert len(same) == 2000 and {r.keep_id for r in same} == {1} and sum(r.kept for r in out) == 1001
 
 
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7])
+def test_op8_hot_groups_without_ids_or_with_one(spark, monkeypatch, ids):
+    """Rows are dealt by their place, so that one id, or none, doesn't hold a group together."""
+    monkeypatch.setattr(X, "HOT_SHARE", 1e-9)
+    rows = [(ids(i), "same text" if i % 3 else f"other {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    dealt = X._dealt(X._documents(df)).where("reference = 0").groupBy("fingerprint", "salt").count()
+    assert dealt.agg({"count": "max"}).first()[0] < 100
+    out = X.exact_dedup(df).collect()
+    assert len(out) == 3000 and sum(r.kept for r in out) == 1001 and sorted({r.group_size for r in out}) == [1, 2000]
+    assert X.drop_exact_copies(df).count() == 1001
+
+
+def test_op8_huge_texts_are_hashed_by_chunks(spark, monkeypatch, hard_docs, hard_rows):
+    monkeypatch.setattr(X, "HUGE", 100)
+    monkeypatch.setattr(X, "CHUNK_CHARS", 64)
+    rows = X.exact_dedup(hard_docs).collect()
+    assert sorted((tuple(r[k] for k in ("doc_id", "keep_id", "group_size", "text_sha256")) for r in rows), key=str) == sorted(brute_exact(hard_rows), key=str)
+    assert X.drop_exact_copies(hard_docs).count() == len({X.normalised(t) for _, t in hard_rows})
+
+
 def test_op8_equal_prints_are_compared(spark, monkeypatch):
     rows = [(1, "aa"), (2, "bb"), (3, "aa"), (4, "bb"), (5, "c")]
     monkeypatch.setattr(X, "MODULUS", 1)  # every print is 0
