@@ -9,15 +9,23 @@ windows that share an anchor are a block. Equal windows have equal anchors where
 a duplicate window lies in blocks of the same anchor in both documents. A block is known by two
 64-bit numbers, its anchor and all its words; an index row is the first document that has it.
 
-**Factors.** Parsing goes greedily from left to right: a block that the index knows from an earlier
-document is copied whole, and copies from the same document run together into factors of ``width``
-words or more. At factor boundaries blocks differ although some of their windows are equal, so
-there the windows are looked up one by one: the first documents of all blocks that share an anchor
-with a different block index their windows, and take what an earlier document has.
+**Factors.** Parsing goes greedily from left to right. A block that the index knows from an earlier
+document is copied whole from the place where that document has it. At factor boundaries blocks
+differ although some of their windows are equal, so there the windows are looked up one by one: the
+first documents of all blocks that share an anchor with a different block index their windows, with
+their places, and take what an earlier document has. A factor is a place in the document, a source, a
+place in it and a number of words; it is extended as long as the next window is a copy of the very words
+that follow in the source, so it is as long as the index lets it be. Factors of ``width`` words or more,
+which all are, are the duplicate spans: just their words are cut.
+
+Equality is that of two numbers: windows must have equal anchors and equal hashes of all words, 64
+bits each. So only windows that share a run of ``gram`` words can be mistaken for each other, one pair in
+2**64 of those.
 
 Blocks and windows are aggregated to their first document before the shuffle, and joined back to
 their places; so a passage that a third of all documents share is one index row, and no group is
-ever collected. Texts move twice: once for the windows at boundaries, once to cut the words out.
+ever collected: what is collected are the distinct copies of one text, however many rows repeat it.
+Texts move twice: once for the windows at boundaries, once to cut the words out.
 
 Defined results: null counts as empty; documents shorter than a window have no duplicate; copies
 inside one document aren't duplicate; rows that share a doc_id are one document each and no
@@ -65,6 +73,10 @@ def windows_of(words: list[bytes], width: int, starts: np.ndarray, hasher: WordH
     return hasher.runs(hasher.prefix(hasher.hashes(words)), starts, starts + width)
 
 
+#: (first window, number of windows, source, first window in the source)
+Copy = tuple[int, int, int, int]
+
+
 def _blocks(docs: DataFrame, width: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = shared_hasher()
@@ -92,34 +104,40 @@ def _boundary_windows(rows: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = shared_hasher()
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for doc, tid, text, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                starts = np.unique(np.concatenate([np.arange(b["first"], b["first"] + b["n"]) for b in blocks]))
+                blocks.sort(key=lambda b: b["first"])
+                sizes = np.array([b["n"] for b in blocks])
+                starts = np.concatenate([np.arange(b["first"], b["first"] + b["n"]) for b in blocks])
+                anchors = np.repeat(np.array([b["anchor"] for b in blocks], np.int64), sizes)
                 hashes = windows_of(text.encode().split(), width, starts, hasher)
-                for column, x in zip(out, (np.full(len(starts), doc), np.full(len(starts), tid), starts, hashes.view(np.int64)), strict=True):
+                for column, x in zip(out, (np.full(len(starts), doc), np.full(len(starts), tid), starts, anchors, hashes.view(np.int64)), strict=True):
                     column.append(x)
             if out[0]:
-                doc, tid, start, window = (np.concatenate(x) for x in out)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tid), pa.array(start.astype(np.int32)), pa.array(window)], ["doc_id", "tid", "first", "window"])
+                doc, tid, start, anchor, window = (np.concatenate(x) for x in out)
+                columns = [pa.array(doc), pa.array(tid), pa.array(start.astype(np.int32)), pa.array(anchor), pa.array(window)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tid", "first", "anchor", "window"])
 
-    return rows.mapInArrow(run, "doc_id long, tid long, first int, window long")
+    return rows.mapInArrow(run, "doc_id long, tid long, first int, anchor long, window long")
 
 
-def factors_of(copies: list[tuple[int, int, int]], width: int) -> list[tuple[int, int, int]]:
-    """Copied windows (first, number, source), in any order -> greedy factors (start, words, source).
+def factors_of(copies: list[Copy], width: int) -> list[tuple[int, int, int, int]]:
+    """Copied windows, in any order -> greedy factors (start, words, source, start in the source).
 
-    A factor goes on as long as the next window is a copy from the same document.
+    A factor goes on as long as the next window is a copy of what follows in its source.
     """
     out: list[list[int]] = []
     end = -1  # the first window after the last factor
-    for first, n, source in sorted(copies):
-        first, n = max(first, end), n - max(0, end - first)
+    for first, n, source, at in sorted(copies):
+        past = max(0, end - first)
+        first, n, at = first + past, n - past, at + past
         if n <= 0:
             continue
-        if out and first == end and out[-1][2] == source:
-            out[-1][1] += n
+        last = out[-1] if out else None
+        if last and first == end and last[2] == source and last[3] + first - last[0] == at:
+            last[1] += n
         else:
-            out.append([first, n + width - 1, source])
+            out.append([first, n + width - 1, source, at])
         end = first + n
     return [tuple(x) for x in out]
 
@@ -127,9 +145,10 @@ def factors_of(copies: list[tuple[int, int, int]], width: int) -> list[tuple[int
 def substring_dedup(df: DataFrame, width: int = 50, gram: int = GRAM, carry: bool = False) -> DataFrame:
     """Per row of ``df`` (doc_id, text): doc_id, n_words, n_removed, factors, kept (the text left).
 
-    ``factors`` are (start, n_words, source) in words of the document; every word of a factor is
-    removed and the words kept are joined by one space. With ``carry``, ``row`` has the other columns,
-    and ``kept`` is the text as it was where nothing is removed.
+    ``factors`` are (start, n_words, source, source_start) in words of the document and of the source
+    (where a source has the words more than once, one of the places); every word of a factor is removed
+    and the words kept are joined by one space. With ``carry``, ``row`` has the other columns, and ``kept``
+    is the text as it was where nothing is removed.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -143,52 +162,54 @@ def substring_dedup(df: DataFrame, width: int = 50, gram: int = GRAM, carry: boo
     anchors = durable(anchors.where("d0 < d1").select("anchor", (F.col("c0") != F.col("c1")).alias("differ")), "anchors")
     shared = durable(merge_join(blocks, anchors, "anchor"), "shared")
     forget(blocks, anchors)
-    index = durable(shared.groupBy("anchor", "content").agg(F.min("doc_id").alias("source")), "index")
+    index = durable(shared.groupBy("anchor", "content").agg(F.min("doc_id").alias("source"), F.min_by("first", "doc_id").alias("source_first")), "index")
     parsed = merge_join(shared, index, ["anchor", "content"])
-    parsed = durable(parsed.where("source < doc_id or differ").select("doc_id", "tid", "first", "n", "source"), "parsed")
+    parsed = durable(parsed.where("source < doc_id or differ").select("doc_id", "tid", "first", "n", "anchor", "source", "source_first"), "parsed")
     forget(shared, index)
-    copies = parsed.where("source < doc_id").select("doc_id", "tid", "first", "n", "source")
-
-    # at the boundaries: windows one by one
-    opened = parsed.where("source = doc_id").groupBy("doc_id", "tid").agg(F.collect_list(F.struct("first", "n")).alias("open"))
-    windows = durable(_boundary_windows(merge_join(docs, opened, ["doc_id", "tid"]).select("doc_id", "tid", "text", "open"), width), "windows")
-    known = windows.groupBy("window").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
-    known = durable(known, "known-windows")
-    more = merge_join(windows, known, "window").where("source < doc_id").select("doc_id", "tid", "first", F.lit(1).alias("n"), "source")
-
-    cuts = durable(copies.unionByName(more).groupBy("doc_id", "tid").agg(F.collect_list(F.struct("first", "n", "source")).alias("copies")), "copies")
+    copies = parsed.where("source < doc_id").select("doc_id", "tid", "first", "n", "source", "source_first")
+
+    # at the boundaries: windows one by one, of each text once
+    opened = parsed.where("source = doc_id").groupBy("doc_id", "tid").agg(F.collect_set(F.struct("first", "n", "anchor")).alias("open"))
+    looked = merge_join(docs, opened, ["doc_id", "tid"]).dropDuplicates(["doc_id", "tid"])
+    windows = durable(_boundary_windows(looked.select("doc_id", "tid", "text", "open"), width), "windows")
+    known = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("first", "doc_id").alias("source_first"))
+    known = durable(known.where("source < last").drop("last"), "known-windows")
+    more = merge_join(windows, known, ["anchor", "window"]).where("source < doc_id").select("doc_id", "tid", "first", F.lit(1).alias("n"), "source", "source_first")
+
+    one = F.struct("first", "n", "source", "source_first")
+    cuts = durable(copies.unionByName(more).groupBy("doc_id", "tid").agg(F.collect_set(one).alias("copies")), "copies")
     forget(parsed, windows, known)
     out = _cut(merge_join(docs, cuts, ["doc_id", "tid"], "left").select("doc_id", "text", "copies", "row"), width, reflow=not carry)
     return out if carry else out.drop("row")
 
 
 def _cut(rows: DataFrame, width: int, reflow: bool = True) -> DataFrame:
-    factor = pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("source", pa.int64())]))
+    factor = pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, counts, removed, factors, kept = [], [], [], [], []
             for doc, text, copies in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
                 words = text.encode().split()
-                found = factors_of([(c["first"], c["n"], c["source"]) for c in copies or ()], width)
+                found = factors_of([(c["first"], c["n"], c["source"], c["source_first"]) for c in copies or ()], width)
                 ids.append(doc)
                 counts.append(len(words))
                 left: list[bytes] = []
                 end = 0
-                for start, n, _ in found:
+                for start, n, *_ in found:
                     left += words[end:start]
                     end = max(end, start + n)
                 left += words[end:]
                 removed.append(len(words) - len(left))
-                factors.append([{"start": s, "n_words": n, "source": d} for s, n, d in found])
+                factors.append([{"start": s, "n_words": n, "source": d, "source_start": at} for s, n, d, at in found])
                 kept.append(b" ".join(left).decode() if found or reflow else text)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(factors, factor), pa.array(kept, pa.string()), batch.column(3)], ["doc_id", "n_words", "n_removed", "factors", "kept", "row"])
 
-    names = "doc_id long, n_words long, n_removed long, factors array<struct<start: int, n_words: int, source: long>>, kept string"
+    names = "doc_id long, n_words long, n_removed long, factors array<struct<start: int, n_words: int, source: long, source_start: int>>, kept string"
     return rows.mapInArrow(run, f"{names}, row {rows.schema['row'].dataType.simpleString()}")
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Duplicate 50-word windows of every whole text of ``documents``."""
     out = substring_dedup(read_table(spark, sf_dir, "documents"), 50)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("factors").alias("n_factors"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -212,13 +212,20 @@ def test_op7_edge_rows(hard_docs, hard_rows, width, gram):
     want = brute_cut(hard_rows, width)
     rows = S.substring_dedup(hard_docs, width, gram).collect()
     assert len(rows) == len(hard_rows)
+    texts = {}
+    for d, t in hard_rows:
+        texts.setdefault(d, []).append((t or "").encode().split())
     for r in rows:
         if r.doc_id is None:
             assert r.n_removed == 0
         else:
             assert (r.n_words, r.n_removed, r.kept) == want[r.doc_id]
-        for f in r.factors:
-            assert f.n_words >= width and f.source < r.doc_id
+        end = 0
+        for f in r.factors:  # what a factor copies is what its source has there, and it can't go on
+            assert f.n_words >= width and f.source < r.doc_id and f.start + f.n_words > end
+            own, source = texts[r.doc_id][0][f.start :], texts[f.source][0][f.source_start :]
+            assert own[: f.n_words] == source[: f.n_words]
+            end = f.start + f.n_words
 
 
 def test_op7_windows_at_block_boundaries(spark, no_docs):
@@ -233,6 +240,16 @@ def test_op7_windows_at_block_boundaries(spark, no_docs):
     assert S.substring_dedup(no_docs).count() == 0
 
 
+def test_op7_factors_are_extended_along_their_source(spark):
+    """One long copy is one factor, though it spans many blocks; repeats of a row change nothing."""
+    rng = random.Random(21)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(1, " ".join(["a", "b", *long])), (2, " ".join(["x", *long[30:330], "y"]))] + [(3, " ".join([*long[100:180], "end"]))] * 60
+    out = S.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 50).collect()
+    got = {r.doc_id: [tuple(f) for f in r.factors] for r in out}
+    assert got == {1: [], 2: [(1, 300, 1, 32)], 3: [(0, 80, 1, 102)]} and len(out) == 62
+
+
 def test_op7_carry_keeps_columns_and_untouched_texts(hard_docs):
     out = S.substring_dedup(hard_docs, 50, carry=True).collect()
     assert {r.row.lang for r in out} == {"x"} and next(r for r in out if r.doc_id == 7).kept == " \t\n "
