@@ -7,21 +7,20 @@ with the sets' Jaccard similarity as probability, with concentration bounds, aft
 work. Bands of ``rows`` bins make bucket keys; number and width follow from the similarity asked
 for, such that a pair at the threshold shares no bucket with a probability of one in a million.
 
-**Groups.** Documents with the same set form a class; one of its texts stands for it. Buckets give
-coarse groups: components of the graph that ties each member to its bucket's smallest member. A
-coarse group may hold unlike texts that a common passage put into some bucket, so it is split by
-the sketches themselves: two members are tied only if their bins agree so often that a pair at the
-threshold fails with a probability of about one in a million. Ties make fine groups, in which links
-are decided on full sets.
-
-**Meeting.** In a group, of either kind, the members meet twice. First all are compared with one
-pivot, the member with the most bucket neighbours: a task streams through its rows and holds the
-pivot alone; groups with over 1/1024 of the rows are salted and the pivot is copied to each salt.
-Then those that aren't tied to the pivot meet all others, block against block. A block has a bounded
-number of rows and, on average, of shingles, and a block pair is one task's working set; what comes
-out of it is a tie or link for a row and a block at most, never all pairs. Sketches take 8 bits a bin, so that
-splitting moves no texts. So each pair of a fine group is decided on full sets unless both are linked to
-its pivot anyway. Links then make components.
+**Groups.** Documents with the same set form a class; one of its texts stands for it. Members of a
+bucket are compared by the sketches themselves, of which 8 bits a bin are kept: two are tied if their bins
+agree so often that a pair at the threshold fails with a probability of about one in a million. So a
+common passage that puts unlike texts into a bucket doesn't bring their texts together, and no text moves
+for this. Buckets with the same members count once. Ties make groups, in which links are decided on full sets.
+
+**Meeting.** In a bucket, by sketches, and in a group, by full sets, the members meet twice. First all
+are compared with one pivot, in a group the member with the most bucket neighbours: a task streams
+through its rows and holds the pivot alone; groups with over 1/1024 of the rows are salted and the
+pivot is copied to each salt. Then those that aren't tied to the pivot meet all others, block against
+block. A block has a bounded number of rows and, on average, of shingles, and a block pair is one
+task's working set; what comes out of it are the ties or links that its components need, never all
+pairs. So each pair of a group is decided on full sets unless both are linked to its pivot anyway.
+Links then make components.
 
 Defined results: null counts as empty; a document without words has no set and is linked with
 nothing; one with fewer words than a shingle has its whole word sequence as its only shingle;
@@ -196,43 +195,42 @@ class BySets:
 
 
 def _against_pivot(rows: DataFrame, hot: dict[int, int], by) -> DataFrame:
-    """``rows`` (grp, pivot, node, payload) -> (grp, pivot, node, size, linked), by streaming."""
-    hot_groups = rows.sparkSession.sparkContext.broadcast(set(hot))
+    """``rows`` (grp, node, rank, payload) -> (grp, salt, pivot, node, size, linked), by streaming. The
+    member of least (rank, node) is the pivot; ``hot`` names it for groups that are salted."""
+    hot_groups = rows.sparkSession.sparkContext.broadcast(hot)
     payload_kind = pa.binary() if by.kind == "binary" else pa.string()
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = hot_groups.value
         for batch in batches:
             out = []
-            for group, pivot, node, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                first = 0 if node == pivot else 1
-                if group not in hot:
-                    out.append((group, 0, first, pivot, node, payload))
-                elif first == 0:
-                    out += [(group, s, 0, pivot, node, payload) for s in range(SALTS)]
+            for group, node, rank, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                pivot = hot.get(group)
+                if pivot is None:
+                    out.append((group, 0, 0, rank, node, payload))
+                elif pivot == node:
+                    out += [(group, s, 0, rank, node, payload) for s in range(SALTS)]
                 else:
-                    out.append((group, zlib.crc32(b"%d" % node) % SALTS, 1, pivot, node, payload))
-            yield _batch(out, ["grp", "salt", "later", "pivot", "node", "payload"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), payload_kind])
+                    out.append((group, zlib.crc32(b"%d" % node) % SALTS, 1, rank, node, payload))
+            yield _batch(out, ["grp", "salt", "later", "rank", "node", "payload"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), payload_kind])
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, reference = None, None
+        at, pivot, reference = None, None, None
         for batch in batches:
             out = []
-            for group, salt, later, pivot, node, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for group, salt, _, _, node, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 member = by.load(payload)
-                if not later:
-                    at, reference = (group, salt), member
-                    if salt == 0:
-                        out.append((group, pivot, node, by.size(member), True))
-                    continue
                 if at != (group, salt):
-                    raise RuntimeError("a group came without its pivot")
-                out.append((group, pivot, node, by.size(member), by.close(reference, member)))
-            yield _batch(out, ["grp", "pivot", "node", "size", "linked"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()])
+                    at, pivot, reference = (group, salt), node, member
+                    if salt == 0:
+                        out.append((group, salt, pivot, node, by.size(member), True))
+                else:
+                    out.append((group, salt, pivot, node, by.size(member), by.close(reference, member)))
+            yield _batch(out, ["grp", "salt", "pivot", "node", "size", "linked"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()])
 
-    met = rows.select("grp", "pivot", "node", "payload").mapInArrow(dealt, f"grp long, salt int, later int, pivot long, node long, payload {by.kind}")
-    met = met.repartition(partitions(rows.sparkSession), "grp", "salt").sortWithinPartitions("grp", "salt", "later", "node")
-    return met.mapInArrow(streamed, "grp long, pivot long, node long, size long, linked boolean")
+    met = rows.select("grp", "node", "rank", "payload").mapInArrow(dealt, f"grp long, salt int, later int, rank long, node long, payload {by.kind}")
+    met = met.repartition(partitions(rows.sparkSession), "grp", "salt").sortWithinPartitions("grp", "salt", "later", "rank", "node")
+    return met.mapInArrow(streamed, "grp long, salt int, pivot long, node long, size long, linked boolean")
 
 
 def links_in_blocks(queries: list[tuple], members: list[tuple], by) -> list[tuple[int, int]]:
@@ -297,34 +295,24 @@ def _among_rest(rows: DataFrame, by) -> DataFrame:
     return met.mapInArrow(compared, "a long, b long")
 
 
-def _met(labelled: DataFrame, payloads: DataFrame, by, most_rows: int, hot_rows: int) -> DataFrame:
-    """Links (a, b) in groups: ``labelled`` (grp, pivot, members, node), ``payloads`` (node, payload)."""
-    hot = {r.grp for r in labelled.where((F.col("members") > hot_rows) & (F.col("node") == F.col("pivot"))).select("grp").collect()}  # fewer than 1 / HOT_SHARE
-    first = durable(_against_pivot(merge_join(payloads, labelled.select("grp", "pivot", "node"), "node"), hot, by), "against-pivot")
+def _met(members: DataFrame, payloads: DataFrame, by, most_rows: int, hot: dict[int, int], hot_rows: int) -> DataFrame:
+    """Links (a, b) in groups: ``members`` (grp, node, rank), ``payloads`` (node, payload)."""
+    first = durable(_against_pivot(merge_join(payloads, members, "node"), hot, by), "against-pivot")
     links = first.where("linked and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     left = first.groupBy("grp").agg(
         F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("open"), F.sum("size").alias("all_size"),
         F.sum(F.when(F.col("linked"), 0).otherwise(F.col("size"))).alias("open_size"),
     )
     blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(F.col(n) / most_rows), F.ceil(F.col(size) / BLOCK_SHINGLES)).cast("int")
-    left = durable(left.where("n > 2 and open > 0").select("grp", blocks("open", "open_size").alias("q_blocks"), blocks("n", "all_size").alias("m_blocks")), "left")
+    salts = F.explode(F.sequence(F.lit(0), F.when(F.col("n") > hot_rows, SALTS - 1).otherwise(0)))
+    left = left.where("n > 2 and open > 0").select("grp", salts.alias("salt"), blocks("open", "open_size").alias("q_blocks"), blocks("n", "all_size").alias("m_blocks"))
     label = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("node"))
-    state = durable(merge_join(first, left, "grp").select("grp", "node", "q_blocks", "m_blocks", (~F.col("linked")).alias("unlinked"), label.alias("label")), "state")
-    more = durable(_among_rest(merge_join(payloads, state, "node"), by), "more-links")
-    links = durable(links.unionByName(more), "links")
-    forget(first, left, state, more)
+    state = first.join(left, ["grp", "salt"]).select("grp", "node", "q_blocks", "m_blocks", (~F.col("linked")).alias("unlinked"), label.alias("label"))
+    links = durable(links.unionByName(_among_rest(merge_join(payloads, state, "node"), by)), "links")
+    forget(first)
     return links
 
 
-def _labelled(groups: DataFrame, degree: DataFrame) -> DataFrame:
-    """(grp, pivot, members, node) of ``groups`` (node, component): the pivot is the member with the
-    most bucket neighbours, of several the first."""
-    central = F.max(F.struct("n", (-F.col("node")).alias("minus"))).alias("central")
-    pivots = merge_join(groups, degree, "node").groupBy("component").agg(central, F.count("*").alias("members"))
-    pivots = pivots.select("component", (-F.col("central.minus")).alias("pivot"), "members")
-    return durable(merge_join(groups, pivots, "component").select(F.col("component").alias("grp"), "pivot", "members", "node"), "labelled")
-
-
 def near_dedup(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``df`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -336,34 +324,39 @@ def near_dedup(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     docs = df.select(F.col("doc_id").cast("long"), text_of("text").alias("text")).withColumn("tid", F.xxhash64("text"))
     sketched = durable(_sketched(docs.select("doc_id", "tid", "text"), width, bands, rows), "sketches")
     known = sketched.where("digest is not null and doc_id is not null")
+    ids = known.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    repeats = ids.n != ids.ids
     classes = known.groupBy("digest").agg(F.min(F.struct("doc_id", "tid")).alias("stands"), F.first("bins").alias("bins"), F.first("keys").alias("keys"))
-    # numbers that stay, since the table is written
-    classes = durable(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "stands.doc_id", "stands.tid", "bins", "keys"), "classes")
-
-    # coarse groups: the graph of buckets
-    bucketed = durable(classes.select("node", F.explode("keys").alias("key")), "bucketed")
-    buckets = bucketed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
-    buckets = durable(buckets, "buckets")
-    tied = durable(merge_join(bucketed, buckets, "key").groupBy("node", "first").agg(F.sum("n").alias("n")), "tied")
-    forget(bucketed, buckets)
-    coarse = durable(connected_components(tied.select(F.col("node").alias("a"), F.col("first").alias("b"))), "coarse")
-    degree = durable(tied.groupBy("node").agg(F.sum("n").alias("n")), "degree")
+    # a class is known by its smallest document; where ids repeat, by a number that stays, since the table is written
+    node = F.monotonically_increasing_id() if repeats else F.col("stands.doc_id")
+    classes = durable(classes.select(node.alias("node"), "digest", "stands.doc_id", "stands.tid", "bins", "keys"), "classes")
     hot_rows = max(1000, int(sketched.count() * HOT_SHARE))
 
-    # fine groups: those whose sketches agree; then links of full sets
-    labelled = _labelled(coarse, degree)
-    bins = durable(merge_join(classes.select("node", F.col("bins").alias("payload")), labelled.select("node"), "node"), "bins")
-    ties = _met(labelled, bins, ByBins(bins_in_common(percent / 100, bands * rows)), BLOCK_SKETCHES, hot_rows)
-    forget(tied, coarse, labelled, bins)
-    fine = durable(connected_components(ties), "fine")
-    labelled = _labelled(fine, degree)
-    stands = merge_join(classes.select("node", "doc_id", "tid"), labelled.select("node"), "node")
+    # buckets that two members share, and of those with the same members one
+    bucketed = classes.select("node", F.explode("keys").alias("key"))
+    sums = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")
+    buckets = bucketed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n"), sums).where("first < last")
+    buckets = durable(buckets.drop("last"), "buckets")
+    members = durable(merge_join(bucketed, buckets.select("key", "n"), "key"), "members")
+    # a bucket that is hot has over 1 / 1024 of the rows, and a row is in as many buckets as there are bands
+    hot = {r.key: r.first for r in buckets.where(F.col("n") > hot_rows).select("key", "first").collect()}
+    chosen = buckets.groupBy("first", "n", "sum").agg(F.min("key").alias("grp")).select("grp")
+    in_buckets = members.select("node", F.col("key").alias("grp")).join(chosen, "grp").withColumn("rank", F.lit(0).cast("long"))
+    bins = classes.select("node", F.col("bins").alias("payload"))
+    ties = _met(in_buckets, bins, ByBins(bins_in_common(percent / 100, bands * rows)), BLOCK_SKETCHES, hot, hot_rows)
+
+    # groups that are tied, and links of full sets
+    degree = members.groupBy("node").agg((-F.sum("n")).alias("rank"))
+    fine = connected_components(ties).withColumnRenamed("component", "grp")
+    fine = durable(fine.join(degree, "node").select("grp", "node", "rank"), "fine")
+    forget(buckets, members, ties)
+    pivots = fine.groupBy("grp").agg(F.count("*").alias("n"), F.min(F.struct("rank", "node")).alias("least"))
+    hot = {r.grp: r.node for r in pivots.where(F.col("n") > hot_rows).select("grp", "least.node").collect()}  # fewer than 1 / HOT_SHARE
+    stands = merge_join(classes.select("node", "doc_id", "tid"), fine.select("node"), "node")
     texts = merge_join(docs, stands, ["doc_id", "tid"]).select("node", F.col("text").alias("payload"))
-    ids = known.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
-    repeats = ids.n != ids.ids
     texts = durable(texts.dropDuplicates(["node"]) if repeats else texts, "texts")
-    links = _met(labelled, texts, BySets(width, percent), BLOCK_TEXTS, hot_rows)
-    forget(ties, fine, labelled, degree, texts)
+    links = _met(fine, texts, BySets(width, percent), BLOCK_TEXTS, hot, hot_rows)
+    forget(fine, texts)
 
     # what an id's texts are linked with is linked
     if repeats:
@@ -374,17 +367,32 @@ def near_dedup(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         forget(links)
         links = whole
     components = durable(connected_components(links), "components")
-    named = merge_join(components, classes.select("node", "doc_id"), "node")
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("least"))
-    named = durable(merge_join(named, smallest, "component").select("node", "least"), "named")
-    of_class = merge_join(classes.select("digest", "node", "doc_id"), named, "node", "left").select("digest", F.coalesce("least", "doc_id").alias("component_id"))
-    of_class = durable(of_class, "of-class")
-    forget(links, components, named, classes)
+    forget(links)
+    if repeats:
+        components = _named(components, classes, hot_rows)
+    of_class = merge_join(classes.select("digest", "node", "doc_id"), components, "node", "left")
+    of_class = durable(of_class.select("digest", F.coalesce("component", "doc_id").alias("component_id")), "of-class")
+    forget(components, classes)
     alone = sketched.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     tied_rows = merge_join(known.drop("keys", "bins"), of_class, "digest").select("doc_id", "n_shingles", "component_id")
     return tied_rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _named(components: DataFrame, classes: DataFrame, hot_rows: int) -> DataFrame:
+    """``components`` (node, component), each known by its smallest document instead of a number. The
+    name is copied to salts where a component has many members."""
+    named = durable(merge_join(components, classes.select("node", "doc_id"), "node"), "named")
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    salts = F.explode(F.sequence(F.lit(0), F.when(F.col("n") > hot_rows, SALTS - 1).otherwise(0)))
+    smallest = durable(smallest.select("component", "least", salts.alias("salt")), "smallest")
+    hot = F.broadcast(smallest.where(F.col("salt") == 1).select("component", F.lit(True).alias("hot")))  # fewer than 1 / HOT_SHARE
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0).cast("int")
+    rows = named.join(hot, "component", "left").select("node", "component", salt.alias("salt"))
+    out = durable(merge_join(rows, smallest, ["component", "salt"]).select("node", F.col("least").alias("component")), "components")
+    forget(components, named, smallest)
+    return out
+
+
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Near duplicates among every whole text of ``documents``: 3-word shingles, 85 per cent."""
     return near_dedup(read_table(spark, sf_dir, "documents"), 3, 85)
