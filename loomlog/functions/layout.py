@@ -10,13 +10,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .text import DIM_OFF, DIM_ON, NEWLINE_GLYPH
+from .text import ANSI, DIM_OFF, DIM_ON, NEWLINE_GLYPH, STOPWORDS, WIDE_RANGES, collapse_blanks
 
 SHAPE_SCHEMA = "shape string, font string, cell_width int, cell_height int, variant string, dim boolean, columns int, line_repeat int, frame_size int"
 #: Shapes of pages (fixed values): name, font, cell width and height, variant, dims, columns, line repeat, frame size.
@@ -79,7 +80,6 @@ EMOJI = {
     "\U0001f512": "[LOCK]", "\U0001f513": "[UNLOCK]", "\U0001f4c1": "[DIR]", "\U0001f4c2": "[DIR]", "\U0001f4c4": "[FILE]",
     "\U0001f4dd": "[NOTE]", "\U0001f9ea": "[TEST]", "⏳": "[WAIT]", "⌛": "[WAIT]", "\U0001f680": "[RUN]",
 }
-_WIDE = ((0x1100, 0x115F), (0x2E80, 0x2FDF), (0x3000, 0x303E), (0x3041, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF00, 0xFF60), (0xFFE0, 0xFFE6), (0x20000, 0x2FFFD), (0x30000, 0x3FFFD))
 _BLANK = "\t\n\x0b\f\r \xa0  -     　"
 
 
@@ -130,7 +130,7 @@ def resolve_shape(models: DataFrame) -> DataFrame:
 
 def is_wide(ch: str) -> bool:
     cp = ord(ch)
-    return cp >= 0x1100 and any(a <= cp <= b for a, b in _WIDE)
+    return cp >= 0x1100 and any(a <= cp <= b for a, b in WIDE_RANGES)
 
 
 def cells(ch: str, wide: bool = True) -> int:
@@ -155,8 +155,10 @@ def _decomposed(ch: str) -> str | None:
 
 
 _RUN = re.compile(f"(?:[{_BLANK}]|[\xad؀-؅؜۝܏᠎​-‏‪-‮⁠-⁯﻿￹-￻])+")
-_ESCAPES = re.compile(r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b\][^\x07\x1b]*(?:\x1b\\|\x07)|\x1b[@-Z\\-_]")
+_ESCAPES = re.compile(ANSI)
 _SIMPLE = re.compile("[\x20-\x7e\n\xa1-\xac\xae-\xff]*")
+_LETTERS = re.compile("[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_LIGHT = frozenset(STOPWORDS)
 _EDGES = re.compile(f"^[ {NEWLINE_GLYPH}]+|[ {NEWLINE_GLYPH}]+$")
 
 
@@ -295,14 +297,76 @@ def carry_dim(pages: list[str]) -> list[str]:
     return out
 
 
-def choose_shape(text: str, ideal: str, fixed: bool = False) -> str:
-    """The silver font where the ideal one loses too much, or for text that is mostly wide."""
+def draws_wide(font: str) -> Callable[[str], bool]:
+    """What a font draws beyond Latin-1, where the renderer's tables aren't there: wide characters."""
+    return is_wide
+
+
+def choose_shape(text: str, ideal: str, fixed: bool = False, drawable: Callable[[str], Callable[[str], bool]] = draws_wide) -> str:
+    """The silver font where the ideal one loses over a twentieth of the characters and silver doesn't,
+    and for text that is mostly wide, if silver can draw it; ``drawable`` gives a font's rule."""
     if fixed:
         return ideal
-    _, graphic, lost = fold(text)
+    safe = lambda font: (f := fold(text, drawable(font)))[2] <= 0.05 * f[1]
+    font = next(s[1] for s in SHAPES if s[0] == ideal)
+    if not safe(font):
+        return "silver16-bw" if safe("silver") else ideal
     chars, wide = wide_share(text)
-    heavy = wide >= 8 and wide >= 0.25 * chars
-    return "silver16-bw" if lost <= 0.05 * graphic and heavy else ideal
+    heavy = font != "silver" and wide >= 8 and wide >= 0.25 * chars
+    return "silver16-bw" if heavy and safe("silver") else ideal
+
+
+@dataclass(frozen=True)
+class Grid:
+    """What pages of a shape look like; silver's cells are as wide as any character."""
+
+    cols: int
+    rows: int
+    columns: int = 1
+    dim: bool = False
+    wide: bool = True
+    font: str = ""
+
+    @property
+    def capacity(self) -> int:
+        return self.columns * self.cols * self.rows
+
+
+def grid_of(shape: str, size: int | None = None) -> Grid:
+    """:func:`geometry` of one shape."""
+    _, font, width, height, _, dim, columns, repeat, own = next(s for s in SHAPES if s[0] == shape)
+    size = size or own
+    across = size // width
+    return Grid((across - GUTTER) // 2 if columns == 2 else across, size // (height * repeat), columns, dim, font != "silver", font)
+
+
+def page_text(text: str, grid: Grid, drawable: Callable[[str], Callable[[str], bool]] = draws_wide) -> list[str]:
+    """Fold a text and cut it into pages: columns of wrapped lines, with dim spans carried on, or cells."""
+    text = fold(text, drawable(grid.font))[0]
+    pages = carry_dim(doc_pages(text, grid.cols, grid.rows, grid.wide)) if grid.columns == 2 else paginate(text, grid.capacity, grid.cols, grid.wide)
+    return [dim_words(p) for p in pages] if grid.dim else pages
+
+
+def dim_words(text: str) -> str:
+    """:func:`text.dim_stopwords` of one text."""
+    out, dim = [], False
+    for part in re.split(f"([{DIM_ON}{DIM_OFF}])", text):
+        if part in (DIM_ON, DIM_OFF):
+            dim = part == DIM_ON
+        elif not dim:
+            part = _LETTERS.sub(lambda m: f"{DIM_ON}{m[0]}{DIM_OFF}" if m[0].lower() in _LIGHT else m[0], part)
+        out.append(part)
+    return "".join(out)
+
+
+def page_array(text: Column, grid: Grid) -> Column:
+    """:func:`page_text` as a column. Texts of letters that any font has, on pages of plain cells, stay
+    in the JVM; the others go through Python."""
+    if grid.columns == 2 or grid.dim:
+        return _column("array<string>", lambda t: page_text(t, grid))(text)
+    odd = text.rlike(r"[^\x20-\x7e\n\xa1-\xac\xae-\xff]")
+    others = _column("array<string>", lambda t: page_text(t, grid))(F.when(odd, text))
+    return F.when(odd, others).otherwise(paginated_narrow(collapse_blanks(text), grid.capacity))
 
 
 def _column(kind: str, function: Callable[[str], object]) -> Callable:

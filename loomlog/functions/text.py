@@ -10,20 +10,23 @@ from pyspark.sql import functions as F
 
 #: Ideographs, kana and Hangul count as one token each.
 CJK = r"[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]"
-#: Characters two cells wide (fixed values, by code point range).
-WIDE = (
-    r"[\x{1100}-\x{115f}\x{2e80}-\x{2eff}\x{2f00}-\x{2fdf}\x{3000}-\x{303e}\x{3041}-\x{33ff}\x{3400}-\x{4dbf}"
-    r"\x{4e00}-\x{9fff}\x{a000}-\x{a4cf}\x{ac00}-\x{d7a3}\x{f900}-\x{faff}\x{fe30}-\x{fe4f}\x{ff00}-\x{ff60}"
-    r"\x{ffe0}-\x{ffe6}\x{20000}-\x{2fffd}\x{30000}-\x{3fffd}]"
-)
+#: Characters two cells wide, by code point range (fixed values).
+WIDE_RANGES = (
+    (0x1100, 0x115F), (0x2E80, 0x2EFF), (0x2F00, 0x2FDF), (0x3000, 0x303E), (0x3041, 0x33FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF),
+    (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF00, 0xFF60), (0xFFE0, 0xFFE6), (0x20000, 0x2FFFD), (0x30000, 0x3FFFD),
+)
+WIDE = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in WIDE_RANGES) + "]"
 DIM_ON, DIM_OFF = "\x0e", "\x0f"
 NEWLINE_GLYPH = "█"
 #: White space that isn't a format character, and line breaks among it.
 BLANKS = r"\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 BREAKS = r"\n\r\x{2028}\x{2029}"
+#: White space that trimming takes off, as characters (fixed values).
+TRIMMED = "\t\n\x0b\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Terminal escapes (fixed values).
 ANSI = r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b\][^\x07\x1b]*(?:\x1b\\|\x07)|\x1b[@-Z\\-_]"
 #: Forms of a reference before a text (fixed values).
-REF_TAG = r"^(?:<acp\s[^>]*>m[0-9]{5}</acp>|\[m[0-9]{1,5}\])\s?\n?"
+REF_TAG = r"^(?:<acp\s[^>]*>m[0-9]{5,}</acp>|\[m[0-9]+\])\s?\n?"
 #: Words of little weight (fixed values).
 STOPWORDS = (
     "the a an and or of to in on at as is are was were be been by for with that "
@@ -70,7 +73,7 @@ def truncate_ellipsis(text: Column | str, most: int) -> Column:
 
 def one_line(text: Column | str, most: int = 48) -> Column:
     """A preview on one line."""
-    return truncate_ellipsis(F.trim(F.regexp_replace(_c(text), r"[\r\n]+", " ")), most)
+    return truncate_ellipsis(trimmed(F.regexp_replace(_c(text), r"[\r\n]+", " ")), most)
 
 
 def head_preview(text: Column | str, most: int = 600) -> Column:
@@ -127,6 +130,17 @@ def ref_tag(ref: Column) -> Column:
     return F.concat(F.lit("["), ref, F.lit("]"))
 
 
+def with_ref_tag(body: Column, ref: Column, end: str = r"\n+\z") -> Column:
+    """A text, without what matches ``end``, then a blank line and the reference; the reference alone for an empty one."""
+    body = F.regexp_replace(body, end, "")
+    return F.when(body == "", ref_tag(ref)).otherwise(F.concat(body, F.lit("\n\n"), ref_tag(ref)))
+
+
+def trimmed(text: Column | str) -> Column:
+    """Without white space at both ends, line feeds and tabs too."""
+    return F.btrim(_c(text), F.lit(TRIMMED))
+
+
 def content_sha(text: Column | str) -> Column:
     return F.substring(F.sha2(_c(text), 256), 1, 32)
 
@@ -147,7 +161,7 @@ def dim_stopwords(text: Column | str) -> Column:
 
 def parse_block_id(text: Column | str) -> Column:
     """``b3`` and ``3`` give ``b3``, anything else null."""
-    number = F.regexp_extract(F.trim(_c(text)), r"^b?([0-9]+)$", 1)
+    number = F.regexp_extract(trimmed(_c(text)), r"^b?([0-9]+)\z", 1)
     return F.when(number != "", F.concat(F.lit("b"), number))
 
 

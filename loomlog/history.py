@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import model
-from .functions.layout import frame_price, geometry, shapes
+from .functions.layout import SHAPES, frame_price, grid_of, shape_for
 from .functions.text import parse_block_id
 from .operators import archive as A
 from .operators import blocks as B
@@ -45,7 +45,7 @@ class History:
 
     @cached_property
     def members(self) -> DataFrame:
-        return model.members(self.messages, self.blocks)
+        return model.members(self.blocks)
 
     @cached_property
     def refs(self) -> DataFrame:
@@ -62,9 +62,10 @@ class History:
                 done[name] = table.sparkSession.read.schema(table.schema).parquet(path)
         return replace(self, **done)
 
-    def turn(self) -> dict[str, DataFrame]:
-        """Visible messages, ranges and nudges of a turn."""
-        return run_turn(self.messages, self.blocks, self.members, self.limit, self.recent, self.recent_tokens)
+    def turn(self, hidden_calls: DataFrame | None = None, shown: DataFrame | None = None) -> dict[str, DataFrame]:
+        """Visible messages, ranges and nudges of a turn, and which nudges have been shown (see
+        :func:`plans.turn.run_turn`)."""
+        return run_turn(self.messages, self.blocks, self.members, self.limit, self.recent, self.recent_tokens, hidden_calls, shown)
 
     def search(self, words: str, limit: int = 10, blocks_only: bool = False) -> DataFrame:
         """The best folded documents of each session for the words of a query."""
@@ -79,16 +80,17 @@ class History:
         made = H.compress_ranges(ranges, rows, self.blocks, self.members, least_chars)
         return replace(self, blocks=H.apply_compression(self.blocks, made)).settled(), made
 
-    def restore(self, targets: DataFrame) -> DataFrame:
-        """``targets`` (session_id, target) -> found ('message', 'block' or 'none'), text and mode; a
-        target is looked up as a message's reference first, then read as a block id, and one that is
-        neither gets the ids of the session's active blocks as its text."""
-        wanted = targets.select("session_id", "target").distinct()
-        by_ref = H.restore_messages(wanted.withColumn("ref", F.col("target")), self.refs).select("session_id", "target", F.lit("message").alias("found"), "text", "mode")
+    def restore(self, targets: DataFrame, full: bool = False) -> DataFrame:
+        """``targets`` (session_id, target, and perhaps inline, to_file) -> found ('message', 'block' or
+        'none'), text and mode; a target is looked up as a message's reference first, then read as a block
+        id, and one that is neither gets the ids of the session's active blocks as its text. ``full``
+        restores the messages of all blocks in a block, too."""
+        wanted = targets.dropDuplicates(["session_id", "target"])
+        by_ref = H.restore_messages(wanted.withColumnRenamed("target", "ref"), self.refs).select("session_id", F.col("ref").alias("target"), F.lit("message").alias("found"), "text", "mode")
         rest = wanted.join(by_ref.select("session_id", "target"), ["session_id", "target"], "left_anti").withColumn("block_id", parse_block_id("target"))
-        texts = H.restore_blocks(rest.where("block_id is not null").select("session_id", "block_id").distinct(), self.members, self.messages)
-        by_id = rest.join(texts, ["session_id", "block_id"]).select("session_id", "target", F.lit("block").alias("found"), "text", "mode")
-        lost = rest.join(by_id.select("session_id", "target"), ["session_id", "target"], "left_anti")
+        texts = H.restore_blocks(rest.where("block_id is not null"), self.blocks, self.messages, full).select("session_id", "block_id", "text", "mode")
+        by_id = rest.select("session_id", "target", "block_id").join(texts, ["session_id", "block_id"]).select("session_id", "target", F.lit("block").alias("found"), "text", "mode")
+        lost = rest.select("session_id", "target").join(by_id.select("session_id", "target"), ["session_id", "target"], "left_anti")
         ids = B.active(self.blocks).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("pos", "block_id"))).alias("b"))
         listed = F.array_join(F.transform("b", lambda x: x["block_id"]), ", ")
         none = lost.join(ids, "session_id", "left").select("session_id", "target", F.lit("none").alias("found"), F.coalesce(listed, F.lit("")).alias("text"), F.lit("inline").alias("mode"))
@@ -113,13 +115,18 @@ class History:
         """Cold blocks that aren't archived, of sessions where their summaries add up."""
         return B.gate(B.unsnapped(B.cold(self.blocks, self.hot_blocks), self.archived), self.snap_threshold)
 
-    def archive(self, blocks: DataFrame | None = None, shape: str = "8on22-bw", family: str = "unknown") -> History:
-        """Append a batch of pages for each session's candidates, and keep the newest frames."""
+    def archive(self, blocks: DataFrame | None = None, shape: str = "8on22-bw", family: str = "unknown", fixed: bool = False) -> History:
+        """Append a batch of pages for each session's candidates, and keep the newest frames. Pages have
+        ``shape``, or the silver one where a session's text needs it, unless ``fixed``."""
         chosen = self.candidates() if blocks is None else blocks
-        g = geometry(*(F.col(c) for c in ("cell_width", "cell_height", "line_repeat", "columns", "frame_size")))
-        at = shapes(self.messages.sparkSession).where(F.col("shape") == shape).select(g["capacity"].alias("capacity"), frame_price(F.lit(family), F.col("frame_size")).alias("price")).first()
-        snapshots = B.block_snapshots(chosen, self.members, self.messages)
-        pages = A.to_frames(A.serialize_blocks(snapshots), at.capacity, at.price)
+        snapshots = A.block_snapshots(chosen, self.members, self.messages)
+        texts = A.serialize_blocks(snapshots).withColumn("shape", F.lit(shape) if fixed else shape_for(F.col("archive"), shape))
+        pages = None
+        for name in dict.fromkeys((shape, "silver16-bw")):
+            size = next(s[8] for s in SHAPES if s[0] == name)
+            price = frame_price(F.lit(family), F.lit(size))
+            made = A.to_frames(texts.where(F.col("shape") == name), grid_of(name), 0).withColumn("tokens", price)
+            pages = made if pages is None else pages.unionByName(made)
         last = F.lit(-1) if self.batches is None else None
         ids = snapshots.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "pos", "block_id"))), lambda x: x["block_id"]).alias("block_ids"))
         shas = pages.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "sha"))), lambda x: x["sha"]).alias("shas"))
@@ -144,5 +151,6 @@ class History:
         """Drop batches without an active block."""
         return replace(self, batches=A.collect_garbage(self.batches, self.blocks)).settled()._capped()
 
-    def attachment(self) -> DataFrame:
-        return A.attachment(A.cap_frames(A.frames_of_batches(self.batches, self.frames), self.most_frames))
+    def attachment(self, listing: DataFrame | None = None) -> DataFrame:
+        """The frames' message; frames whose file isn't in ``listing`` (paths of the store) are skipped."""
+        return A.attachment(A.cap_frames(A.frames_of_batches(self.batches, self.frames), self.most_frames), listing)

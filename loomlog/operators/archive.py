@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.layout import paginated_narrow
-from ..functions.text import DIM_OFF, DIM_ON, content_sha, truncate_head_tail
+from ..functions.layout import Grid, page_array
+from ..functions.text import DIM_OFF, DIM_ON, content_sha, trimmed, truncate_head_tail
+from .status import present_frames
 
 SCOPES = {"user": "¶user:", "ai": "¶ai:", "think": "¶think:", "call": "¶call:"}
 
@@ -19,10 +20,10 @@ def call_key() -> Column:
     return F.coalesce("tool_call_id", "id")
 
 
-def call_results(messages: DataFrame) -> DataFrame:
+def call_results(messages: DataFrame, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
     """The last result text for each call; empty results don't count."""
     results = messages.where((F.col("role") == "tool") & (F.col("content_type") == "tool-result") & (F.col("text") != ""))
-    return results.groupBy("session_id", call_key().alias("key")).agg(F.max_by("text", F.struct("seq", "id")).alias("result"), F.count("*").alias("n_results"))
+    return results.groupBy(*by, call_key().alias("key")).agg(F.max_by("text", F.struct("seq", "id")).alias("result"), F.count("*").alias("n_results"))
 
 
 def call_result_pairs(messages: DataFrame) -> DataFrame:
@@ -31,21 +32,21 @@ def call_result_pairs(messages: DataFrame) -> DataFrame:
     return calls.join(call_results(messages), ["session_id", "key"], "left")
 
 
-def serialize(messages: DataFrame) -> DataFrame:
-    """(session_id, transcript): scoped sections in order; neighbours of one scope run together.
+def serialize(messages: DataFrame, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """(``by``, transcript): scoped sections in order; neighbours of one scope run together.
 
     A result stands under its call; one that comes before its call, or has none, stands alone as
-    well. Other rows say nothing.
+    well. Other rows say nothing. ``by`` names the group that is one transcript.
     """
     rows = messages.withColumn("key", call_key()).withColumn("place", F.struct("seq", "id"))
-    results = call_results(messages).select("session_id", "key", "result")
-    first_call = rows.where((F.col("role") == "assistant") & (F.col("content_type") == "tool-call")).groupBy("session_id", "key").agg(F.min("place").alias("call_at"))
-    rows = rows.join(results, ["session_id", "key"], "left").join(first_call, ["session_id", "key"], "left")
+    results = call_results(messages, by).select(*by, "key", "result")
+    first_call = rows.where((F.col("role") == "assistant") & (F.col("content_type") == "tool-call")).groupBy(*by, "key").agg(F.min("place").alias("call_at"))
+    rows = rows.join(results, [*by, "key"], "left").join(first_call, [*by, "key"], "left")
     out = F.concat(F.lit(f"<out>\n{DIM_ON}"), truncate_head_tail(_undimmed(F.col("result"))), F.lit(f"{DIM_OFF}\n</out>"))
     said = _undimmed(F.col("text"))
     call = F.concat(F.coalesce("tool_name", F.lit("tool")), F.lit("("), truncate_head_tail(said), F.lit(")"))
     is_ = lambda role, kind: (F.col("role") == role) & (F.col("content_type") == kind)
-    blank = F.trim("text") == ""
+    blank = trimmed("text") == ""
     part = lambda scope, text: F.struct(F.lit(SCOPES[scope]).alias("scope"), text.alias("text"))
     piece = (
         F.when(is_("user", "text") & (F.col("text") != ""), part("user", said))
@@ -54,14 +55,14 @@ def serialize(messages: DataFrame) -> DataFrame:
         .when(is_("assistant", "tool-call"), part("call", F.when(F.col("result").isNull(), call).otherwise(F.concat(call, F.lit("\n"), out))))
         .when(is_("tool", "tool-result") & F.col("result").isNotNull() & (F.col("call_at").isNull() | (F.col("call_at") > F.col("place"))), part("call", F.concat(F.lit("\n"), out)))
     )
-    rows = rows.withColumn("piece", piece).where("piece is not null").select("session_id", "place", "piece.*")
-    order = Window.partitionBy("session_id").orderBy("place")
+    rows = rows.withColumn("piece", piece).where("piece is not null").select(*by, "place", "piece.*")
+    order = Window.partitionBy(*by).orderBy("place")
     before, text_before = F.lag("scope").over(order), F.lag("text").over(order)
     same = F.col("scope").eqNullSafe(before)
     joint = F.when(before.isNull(), "").when(~same, "\n\n").when(text_before.endswith("\n") | F.col("text").startswith("\n"), "").otherwise("\n")
     rows = rows.withColumn("s", F.concat(joint, F.when(same, "").otherwise(F.col("scope")), F.col("text")))
     ordered = F.array_sort(F.collect_list(F.struct("place", "s")))
-    return rows.groupBy("session_id").agg(F.array_join(F.transform(ordered, lambda x: x["s"]), "").alias("transcript"))
+    return rows.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x["s"]), "").alias("transcript"))
 
 
 def serialize_blocks(snapshots: DataFrame) -> DataFrame:
@@ -72,10 +73,19 @@ def serialize_blocks(snapshots: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").agg(F.array_join(F.transform(ordered, lambda x: x["s"]), "\n\n").alias("archive"))
 
 
-def to_frames(archives: DataFrame, capacity: int, tokens: int, text: str = "archive") -> DataFrame:
-    """Pages of archive text as frames: (session_id, page, sha, bytes, tokens, body)."""
-    pages = archives.select("session_id", F.posexplode(paginated_narrow(F.col(text), capacity)).alias("page", "body"))
-    return pages.select("session_id", F.col("page").cast("long").alias("page"), content_sha("body").alias("sha"), F.octet_length("body").cast("long").alias("bytes"), F.lit(tokens).cast("long").alias("tokens"), "body")
+def block_snapshots(blocks: DataFrame, members: DataFrame, messages: DataFrame) -> DataFrame:
+    """Active blocks with the transcript of their members, or their summary where that is blank."""
+    by = ("session_id", "block_id")
+    source = serialize(members.select(*by, "id").join(messages, ["session_id", "id"]), by)
+    out = blocks.where(F.coalesce("active", F.lit(False))).join(source, list(by), "left")
+    said = trimmed(F.coalesce("transcript", F.lit("")))
+    return out.withColumn("body", F.when(said != "", said).otherwise(trimmed("summary"))).drop("transcript")
+
+
+def to_frames(archives: DataFrame, grid: Grid, tokens: int, text: str = "archive", keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """Archive texts folded and cut into pages of a grid, as frames: (``keys``, page, sha, bytes, tokens, body)."""
+    pages = archives.select(*keys, F.posexplode(page_array(F.col(text), grid)).alias("page", "body"))
+    return pages.select(*keys, F.col("page").cast("long").alias("page"), content_sha("body").alias("sha"), F.octet_length("body").cast("long").alias("bytes"), F.lit(tokens).cast("long").alias("tokens"), "body")
 
 
 def new_frames(frames: DataFrame, store: DataFrame | None = None) -> DataFrame:
@@ -118,8 +128,11 @@ def lost_blocks(archived: DataFrame, batches: DataFrame) -> DataFrame:
     return archived.join(held, ["session_id", "block_id"], "left_anti")
 
 
-def attachment(kept: DataFrame) -> DataFrame:
-    """The message that brings the frames back: a header and the frames' hashes, oldest first."""
+def attachment(kept: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """The message that brings the frames back: a header that counts them, and the hashes of those whose
+    file is in ``listing`` (paths; without one, of all), oldest first. A session without any has none."""
+    counts = kept.groupBy("session_id").agg(F.count("*").alias("n_frames"))
+    there = kept if listing is None else present_frames(kept, listing)
     ordered = F.array_sort(F.collect_list(F.struct("batch", "pos", "sha")))
-    out = kept.groupBy("session_id").agg(F.count("*").alias("n_frames"), F.transform(ordered, lambda x: x["sha"]).alias("shas"))
+    out = there.groupBy("session_id").agg(F.transform(ordered, lambda x: x["sha"]).alias("shas")).join(counts, "session_id")
     return out.withColumn("header", F.concat(F.lit("archived frames, oldest first: "), "n_frames"))

@@ -91,15 +91,6 @@ def tier_counts(blocks: DataFrame) -> DataFrame:
     return counts.groupBy("session_id").agg(F.array_join(F.transform(items, lambda x: x["s"]), " ").alias("tiers"))
 
 
-def block_snapshots(blocks: DataFrame, members: DataFrame, messages: DataFrame) -> DataFrame:
-    """Active blocks with the text of their members in order, or their summary where there is none."""
-    lines = members.join(messages.select(*ROW, "role", "text"), ROW)
-    ordered = F.array_sort(F.collect_list(F.struct("seq", F.concat("role", F.lit(": "), "text").alias("s"))))
-    source = lines.groupBy("session_id", "block_id").agg(F.array_join(F.transform(ordered, lambda x: x["s"]), "\n").alias("source"))
-    out = active(blocks).join(source, ["session_id", "block_id"], "left")
-    return out.withColumn("body", F.when(F.trim(F.coalesce("source", F.lit(""))) != "", F.trim("source")).otherwise(F.trim("summary")))
-
-
 def protected(messages: DataFrame, recent: int = 5, recent_tokens: int = 5000) -> DataFrame:
     """Marks the soft recent zone: the last ``recent`` messages, those within the last
     ``recent_tokens`` tokens, the last user message and results of compressing; large tool results

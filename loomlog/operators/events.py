@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import trimmed
+
 EVENT = (
     "type string, assistantMessageEvent struct<type: string, delta: string, content: string>, toolName string, toolCallId string, "
     "args string, partialResult struct<content: array<struct<type: string, text: string>>>, isError boolean, "
@@ -58,7 +60,7 @@ def activity(events: DataFrame) -> Column:
     reason = F.when(F.col("text") != "", F.concat(F.lit(" — "), "text")).otherwise("")
     return (
         F.when(F.col("kind") == "tool-start", F.concat(F.lit("[tool] "), "tool_name", space(F.col("text"))))
-        .when((F.col("kind") == "tool-update") & (F.col("text") != ""), F.regexp_replace("text", "\n$", ""))
+        .when((F.col("kind") == "tool-update") & (F.col("text") != ""), F.regexp_replace("text", r"\n\z", ""))
         .when(F.col("kind") == "tool-end", F.concat(F.lit("[done] "), "tool_name", failed))
         .when(F.col("kind") == "thinking-delta", F.concat(F.lit("[thinking] "), "text"))
         .when(F.col("kind") == "retry-start", F.concat(F.lit("[retry] attempt "), "attempt", F.lit("/"), "max_attempts", F.lit(", backoff "), "delay_ms", F.lit("ms"), reason))
@@ -86,7 +88,7 @@ def thinking_segments(events: DataFrame) -> DataFrame:
     ends = (F.col("kind") != "thinking-delta").cast("long")
     rows = events.withColumn("segment", F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("kind = 'thinking-delta'")
     ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "text")))
-    out = rows.groupBy("run_id", "segment").agg(F.trim(F.array_join(F.transform(ordered, lambda x: x["text"]), "")).alias("thinking"))
+    out = rows.groupBy("run_id", "segment").agg(trimmed(F.array_join(F.transform(ordered, lambda x: x["text"]), "")).alias("thinking"))
     return out.where("thinking <> ''")
 
 

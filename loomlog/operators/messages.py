@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ref_tag, strip_ref_tag
+from ..functions.text import BLANKS, strip_ref_tag, trimmed, with_ref_tag
 from ..model import CONTENT, CORE_COLUMNS
 
 def parse_content(value: Column, path: str = "$.content") -> Column:
@@ -46,7 +46,7 @@ def arguments_text(arguments: Column) -> Column:
 def fallback_text(command: Column, output: Column, summary: Column) -> Column:
     """What other roles say: ``$ command``, output and summary on lines."""
     some = lambda c: F.when(c != "", c)
-    return F.trim(F.concat_ws("\n", F.when(command != "", F.concat(F.lit("$ "), command)), some(output), some(summary)))
+    return trimmed(F.concat_ws("\n", F.when(command != "", F.concat(F.lit("$ "), command)), some(output), some(summary)))
 
 
 def to_core(entries: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def to_core(entries: DataFrame) -> DataFrame:
         .when(role == "user", plain("user", said))
         .when(role == "toolResult", F.array(row(id, "tool", "tool-result", F.col("m.toolName"), F.col("m.toolCallId"), said)))
         .when((role == "assistant") & (F.size(calls) > 0), F.transform(calls, call_row))
-        .when((role == "assistant") & (F.trim(said) != ""), plain("assistant", said))
+        .when((role == "assistant") & (trimmed(said) != ""), plain("assistant", said))
         .when(role == "assistant", none)
         .when(other != "", plain("user", other))
         .otherwise(none)
@@ -96,39 +96,45 @@ def to_core(entries: DataFrame) -> DataFrame:
 
 
 def assign_refs(messages: DataFrame) -> DataFrame:
-    """Number messages ``m00001``, ... within their session."""
-    number = F.row_number().over(Window.partitionBy("session_id").orderBy("seq", "id"))
-    return messages.withColumn("ref", F.concat(F.lit("m"), F.lpad(number.cast("string"), 5, "0")))
+    """Number messages ``m00001``, ... within their session; numbers of more than five digits are whole."""
+    number = F.row_number().over(Window.partitionBy("session_id").orderBy("seq", "id")).cast("string")
+    return messages.withColumn("ref", F.concat(F.lit("m"), F.when(F.length(number) < 5, F.lpad(number, 5, "0")).otherwise(number)))
 
 
 def tag(messages: DataFrame) -> DataFrame:
-    """Put the reference before the text; assistant messages stay as they are."""
-    return messages.withColumn("tagged", F.when(F.col("role") == "assistant", F.col("text")).otherwise(F.concat(ref_tag(F.col("ref")), F.lit(" "), F.col("text"))))
+    """Put the reference after the text, in place of one before it; assistant messages stay as they are."""
+    return messages.withColumn("tagged", F.when(F.col("role") == "assistant", F.col("text")).otherwise(with_ref_tag(strip_ref_tag(F.col("text")), F.col("ref"))))
+
+
+def _text_part(text: Column) -> Column:
+    null = F.lit(None).cast("string")
+    return F.struct(F.lit("text").alias("type"), text.alias("text"), null.alias("id"), null.alias("name"), null.alias("arguments"))
+
+
+_END = rf"[{BLANKS}\x{{feff}}]+\z"
 
 
 def tag_parts(parts: Column, ref: Column, body: Column) -> Column:
-    """Tag the last text part; with a ``body`` that differs beyond trailing blanks, all text parts
-    give way to one with it, after the parts that aren't text."""
-    texts = F.filter(parts, lambda p: p["type"].eqNullSafe("text"))
-    joined = F.array_join(F.transform(texts, lambda p: p["text"]), "\n")
-    last = F.array_max(F.transform(parts, lambda p, i: F.when(p["type"].eqNullSafe("text"), i)))
-    tagged = F.transform(parts, lambda p, i: F.when(i.eqNullSafe(last), p.withField("text", F.concat(ref_tag(ref), F.lit(" "), p["text"]))).otherwise(p))
-    return F.when(F.rtrim(joined) == F.rtrim(body), tagged).otherwise(rebuild_parts(parts, F.concat(ref_tag(ref), F.lit(" "), body)))
+    """Peel old tags and put the reference after the last text part, or add a part for it where there is
+    none. With a ``body`` that says something and differs beyond trailing blanks, all text parts give way
+    to one with it, after the parts that aren't text."""
+    peeled = peel_parts(parts)
+    last = F.array_max(F.transform(peeled, lambda p, i: F.when(p["type"].eqNullSafe("text"), i)))
+    tagged = F.transform(peeled, lambda p, i: F.when(i.eqNullSafe(last), p.withField("text", with_ref_tag(p["text"], ref))).otherwise(p))
+    tagged = F.when(last.isNull(), F.concat(peeled, F.array(_text_part(with_ref_tag(F.lit(""), ref))))).otherwise(tagged)
+    same = F.regexp_replace(content_text(parts), _END, "") == F.regexp_replace(body, _END, "")
+    return F.when(same | (F.coalesce(body, F.lit("")) == ""), tagged).otherwise(rebuild_parts(parts, with_ref_tag(body, ref, _END)))
 
 
 def rebuild_parts(parts: Column, body: Column) -> Column:
     """Parts that aren't text, then one text part."""
-    others = F.filter(parts, lambda p: ~p["type"].eqNullSafe("text"))
-    null = F.lit(None).cast("string")
-    part = F.struct(F.lit("text").alias("type"), body.alias("text"), null.alias("id"), null.alias("name"), null.alias("arguments"))
-    return F.concat(others, F.array(part))
+    return F.concat(F.filter(parts, lambda p: ~p["type"].eqNullSafe("text")), F.array(_text_part(body)))
 
 
 def peel_parts(parts: Column) -> Column:
-    """Strip tags, and drop text parts that were nothing but one."""
+    """Strip tags, and drop text parts that then say nothing."""
     peeled = F.transform(parts, lambda p: F.when(p["type"].eqNullSafe("text"), p.withField("text", strip_ref_tag(p["text"]))).otherwise(p))
-    pairs = F.zip_with(parts, peeled, lambda a, b: F.struct(b.alias("b"), (b["type"].eqNullSafe("text") & (b["text"] == "") & (a["text"] != "")).alias("gone")))
-    return F.transform(F.filter(pairs, lambda p: ~p["gone"]), lambda p: p["b"])
+    return F.filter(peeled, lambda p: ~(p["type"].eqNullSafe("text") & p["text"].eqNullSafe(F.lit(""))))
 
 
 def base_id(id: Column) -> Column:

@@ -29,15 +29,18 @@ def _equals(term: str):
 
 
 def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """Score ``docs`` of each session for ``terms``; only documents with a term come back.
+    """Score ``docs`` of each session for ``terms``; only documents with a term come back, with a
+    ``preview`` in place of their text.
 
     Scores are rounded to six places, so that ties are ties everywhere.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0)
-    # the words themselves stay before the shuffle: only their counts are needed after it
+    # neither texts nor words are shuffled: only their counts and the preview are needed afterwards
     rows = docs.withColumn("words", words)
     counts = (F.size(F.filter("words", _equals(term))).alias(f"tf{i}") for i, term in enumerate(terms))
-    rows = rows.select(*docs.columns, F.size("words").alias("n_words"), *counts)
+    preview = truncate_ellipsis(F.regexp_replace("text", r"[\r\n]+", " "), 80).alias("preview")
+    kept = [c for c in docs.columns if c != "text"]
+    rows = rows.select(*kept, preview, F.size("words").alias("n_words"), *counts)
     session = Window.partitionBy("session_id")
     dfs = (F.count_if(F.col(f"tf{i}") > 0).over(session).alias(f"df{i}") for i in range(len(terms)))
     rows = rows.select("*", F.count("*").over(session).alias("n"), F.avg("n_words").over(session).alias("mean"), *dfs)
@@ -47,11 +50,10 @@ def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_words") / F.col("mean")))
     scored = rows.withColumn("score", F.round(score, 6)).where(F.col("score") > 0)
-    return scored.select(*docs.columns, "score")
+    return scored.select(*kept, "preview", "score")
 
 
 def top_k(scored: DataFrame, k: int = 10) -> DataFrame:
     """The best ``k`` of each session; ties by reference."""
     order = Window.partitionBy("session_id").orderBy(F.desc("score"), "kind", "ref")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.withColumn("preview", truncate_ellipsis(F.regexp_replace("text", r"[\r\n]+", " "), 80))
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -89,5 +89,5 @@ def finish(runs: DataFrame) -> DataFrame:
 
 def present_frames(frames: DataFrame, listing: DataFrame) -> DataFrame:
     """Frames whose file is there; ``listing`` has the store's paths, named by hash."""
-    there = listing.select(F.regexp_extract("path", r"([0-9a-f]+)(\.\w+)?$", 1).alias("sha")).distinct()
+    there = listing.select(F.regexp_extract("path", r"([^/]+?)(\.\w+)?$", 1).alias("sha")).distinct()
     return frames.join(there, "sha", "left_semi")

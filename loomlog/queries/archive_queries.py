@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import model
+from ..functions.layout import Grid
 from ..operators import archive as A
 from ..operators import blocks as B
 from ..registry import query
 from .block_queries import SNAPSHOTS, tables
+from .text_queries import folded_sql
 
-PAGE, PRICE, MOST = 300, 3293, 3
+GRID, PRICE, MOST = Grid(30, 10), 3293, 3
+PAGE = GRID.capacity
 WITH = f"WITH {model.SQL}, {SNAPSHOTS}"
 SECTION = "'[block ' || block_id || ' t' || tier || ']' || CASE WHEN coalesce(topic, '') <> '' THEN ' ' || topic ELSE '' END || chr(10) || body"
 # every active block is a batch; its pages are hashed
-FRAMES = f"""sect AS (SELECT session_id, block_id, pos AS batch, {SECTION} AS s FROM snaps),
+FRAMES = f"""raw AS (SELECT session_id, block_id, pos AS batch, {SECTION} AS s FROM snaps),
+sect AS (SELECT session_id, block_id, batch, {folded_sql('s')} AS s FROM raw),
 pages AS (SELECT session_id, block_id, batch, page, substring(s, page * {PAGE} + 1, {PAGE}) AS body FROM (SELECT *, unnest(range(0, (length(s) + {PAGE - 1}) // {PAGE})) AS page FROM sect) p),
 named AS (SELECT session_id, block_id, batch, page AS pos, left(sha256(body), 32) AS sha, octet_length(encode(body)) AS bytes FROM pages),
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY batch DESC, pos DESC) AS r FROM named) x WHERE r <= {MOST})"""
@@ -22,7 +26,7 @@ kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORD
 
 def snapshots(spark, sf_dir):
     messages, blocks, members = tables(spark, sf_dir)
-    return B.block_snapshots(blocks, members, messages)
+    return A.block_snapshots(blocks, members, messages)
 
 
 def pages(spark, sf_dir):
@@ -30,7 +34,7 @@ def pages(spark, sf_dir):
     snaps = snapshots(spark, sf_dir)
     key = F.struct("session_id", "block_id", F.col("pos").alias("batch"))
     one = A.serialize_blocks(snaps.withColumn("session_id", key))
-    frames = A.to_frames(one, PAGE, PRICE)
+    frames = A.to_frames(one, GRID, PRICE)
     return frames.select("session_id.*", F.col("page").alias("pos"), "sha", "bytes", "tokens", "body")
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import model
-from ..functions.text import quarter_tokens, token_estimate
+from ..functions.text import TRIMMED, quarter_tokens, token_estimate
 from ..model import tokens_sql
+from ..operators import archive as A
 from ..operators import blocks as B
 from ..operators.messages import assign_refs as number_refs
 from ..registry import query
@@ -19,7 +20,7 @@ LIMIT = 4000
 
 def tables(spark, sf_dir):
     messages, blocks = model.core(spark, sf_dir), model.blocks(spark, sf_dir)
-    return messages, blocks, model.members(messages, blocks)
+    return messages, blocks, model.members(blocks)
 
 
 def archived(blocks):
@@ -61,21 +62,22 @@ def searchable_messages(spark, sf_dir):
     return B.covered(messages, members).where(F.length("text") >= 2).select("session_id", "id", "seq")
 
 
-OVERLAP = """ov AS (SELECT session_id, id, seq, block_id, pos, tier FROM mem UNION ALL
-  SELECT c.session_id, c.id, c.seq, 'o' || b.pos, b.pos + 1, 2 FROM blk b JOIN core c ON b.session_id = c.session_id AND c.seq BETWEEN lo + 1 AND hi + 1)"""
+OVERLAP = """ov AS (SELECT session_id, id, block_id, pos, tier FROM mem UNION ALL
+  SELECT session_id, id, 'o' || pos, CASE WHEN pos % 2 = 1 THEN pos - 1 ELSE pos + 1 END, 2 FROM mem)"""
 
 
 @query(f"{WITH}, {OVERLAP} SELECT session_id, id, arg_min(block_id, struct_pack(a := pos, b := block_id)) AS owner, arg_min(tier, struct_pack(a := pos, b := block_id)) AS tier FROM ov GROUP BY session_id, id")
 def message_owner(spark, sf_dir):
-    """First match among overlapping blocks: each block also exists shifted by one turn."""
-    messages, blocks, members = tables(spark, sf_dir)
-    shifted = blocks.select("session_id", F.concat(F.lit("o"), "pos").alias("block_id"), (F.col("pos") + 1).alias("pos"), (F.col("lo") + 1).alias("lo"), (F.col("hi") + 1).alias("hi"), "active", F.lit(2).cast("long").alias("tier"))
-    return B.owners(members.unionByName(model.members(messages, shifted)))
+    """First match among overlapping blocks: each block also exists one place earlier or later."""
+    _, blocks, members = tables(spark, sf_dir)
+    place = F.when(F.col("pos") % 2 == 1, F.col("pos") - 1).otherwise(F.col("pos") + 1)
+    twins = blocks.withColumns({"block_id": F.concat(F.lit("o"), "pos"), "pos": place, "tier": F.lit(2).cast("long")})
+    return B.owners(members.unionByName(model.members(twins)))
 
 
-@query(f"{WITH} SELECT session_id, block_id, id, seq FROM mem")
+@query(f"{WITH} SELECT session_id, block_id, id FROM mem")
 def block_members(spark, sf_dir):
-    return tables(spark, sf_dir)[2].select("session_id", "block_id", "id", "seq")
+    return tables(spark, sf_dir)[2].select("session_id", "block_id", "id")
 
 
 @query(f"""{WITH} SELECT m.session_id, m.block_id, min(m.seq) AS lo, count(*) AS n, CAST(sum({TOK}) AS BIGINT) AS tokens
@@ -83,8 +85,9 @@ FROM mem m JOIN core c ON m.session_id = c.session_id AND m.id = c.id GROUP BY m
 def range_members(spark, sf_dir):
     """Ranges of messages and what is in them."""
     messages, _, members = tables(spark, sf_dir)
-    rows = members.select("session_id", "block_id", "id").join(messages, ["session_id", "id"])
-    return rows.groupBy("session_id", "block_id").agg(F.min("seq").alias("lo"), F.count("*").alias("n"), F.sum(token_estimate("text")).cast("long").alias("tokens"))
+    counted = messages.select("session_id", "id", "seq", token_estimate("text").alias("t"))  # no texts in the shuffle
+    rows = members.select("session_id", "block_id", "id").join(counted, ["session_id", "id"])
+    return rows.groupBy("session_id", "block_id").agg(F.min("seq").alias("lo"), F.count("*").alias("n"), F.sum("t").cast("long").alias("tokens"))
 
 
 ACTIVE = "act AS (SELECT * FROM blk WHERE active)"
@@ -150,11 +153,18 @@ def covered_count(spark, sf_dir):
     return B.active(members).groupBy("session_id").agg(F.count_distinct("id").alias("n_covered"))
 
 
-SNAPSHOTS = """snaps AS (
-  SELECT b.session_id, b.block_id, b.tier, b.topic, b.created_at, b.pos, CASE WHEN trim(coalesce(source, '')) <> '' THEN trim(source) ELSE trim(summary) END AS body
+# a block's transcript: neighbours of one role run together
+SNAPSHOTS = f"""said AS (
+  SELECT m.session_id, m.block_id, c.seq, CASE WHEN role = 'user' THEN '¶user:' ELSE '¶ai:' END AS scope, text
+  FROM mem m JOIN core c ON m.session_id = c.session_id AND m.id = c.id WHERE role = 'assistant' OR text <> ''
+),
+lined AS (SELECT *, lag(scope) OVER o AS b, lag(text) OVER o AS bt FROM said WINDOW o AS (PARTITION BY session_id, block_id ORDER BY seq)),
+snaps AS (
+  SELECT b.session_id, b.block_id, b.tier, b.topic, b.created_at, b.pos,
+    CASE WHEN trim(coalesce(source, ''), '{TRIMMED}') <> '' THEN trim(source, '{TRIMMED}') ELSE trim(summary, '{TRIMMED}') END AS body
   FROM blk b LEFT JOIN (
-    SELECT m.session_id, m.block_id, string_agg(role || ': ' || text, chr(10) ORDER BY m.seq) AS source
-    FROM mem m JOIN core c ON m.session_id = c.session_id AND m.id = c.id GROUP BY m.session_id, m.block_id
+    SELECT session_id, block_id, string_agg(CASE WHEN b IS NULL THEN scope || text WHEN b = scope THEN CASE WHEN right(bt, 1) = chr(10) OR left(text, 1) = chr(10) THEN '' ELSE chr(10) END || text ELSE chr(10) || chr(10) || scope || text END, '' ORDER BY seq) AS source
+    FROM lined GROUP BY session_id, block_id
   ) s ON b.session_id = s.session_id AND b.block_id = s.block_id WHERE active
 )"""
 
@@ -162,10 +172,10 @@ SNAPSHOTS = """snaps AS (
 @query(f"{WITH}, {SNAPSHOTS} SELECT session_id, block_id, tier, body FROM snaps")
 def block_snapshots(spark, sf_dir):
     messages, blocks, members = tables(spark, sf_dir)
-    return B.block_snapshots(blocks, members, messages).select("session_id", "block_id", "tier", "body")
+    return A.block_snapshots(blocks, members, messages).select("session_id", "block_id", "tier", "body")
 
 
-@query(f"{WITH} SELECT session_id, id, 'm' || lpad(CAST(row_number() OVER (PARTITION BY session_id ORDER BY seq, id) AS VARCHAR), 5, '0') AS ref FROM core")
+@query(f"{WITH} SELECT session_id, id, printf('m%05d', row_number() OVER (PARTITION BY session_id ORDER BY seq, id)) AS ref FROM core")
 def assign_refs(spark, sf_dir):
     return number_refs(model.core(spark, sf_dir)).select("session_id", "id", "ref")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions.text import TRIMMED
 from ..model import read
 from ..operators import events as E
 from ..registry import query
@@ -31,10 +32,11 @@ def lines_of(rows):
         F.when(id % 97 == 0, '{"type":')
         .when(id % 89 == 0, '{"type":"mystery"}')
         .when(F.col("event_type") == "click", j(update, 'text_delta","delta":"c', k, ' "}}'))
+        .when((F.col("event_type") == "view") & (k % 9 == 0), update + 'thinking_delta","delta":"\\n\\t"}}')
         .when(F.col("event_type") == "view", j(update, 'thinking_delta","delta":"v', k, ' "}}'))
         .when(F.col("event_type") == "error", update + 'thinking_end"}}')
         .when(F.col("event_type") == "signup", j(update, 'text_end","content":"s', id, '"}}'))
-        .when(id % 2 == 0, j('{"type":"tool_execution_update","toolCallId":"t', k % 3, '","partialResult":{"content":[{"type":"text","text":"', F.substr(F.lit(ALPHABET), F.lit(1), (1 + k % 26).cast("int")), '"}]}}'))
+        .when(id % 2 == 0, j('{"type":"tool_execution_update","toolCallId":"t', k % 3, '","partialResult":{"content":[{"type":"text","text":"', F.substr(F.lit(ALPHABET), F.lit(1), (1 + k % 26).cast("int")), F.when(k % 5 == 0, "\\n\\n").otherwise(""), '"}]}}'))
         .otherwise(j('{"type":"tool_execution_end","toolName":"bash","isError":', F.when(k % 2 == 0, "true").otherwise("false"), "}"))
     )
     return rows.select("run_id", "ts", "event_id", line.alias("line"))
@@ -48,7 +50,7 @@ EV = f"""WITH b AS (SELECT user_id AS run_id, ts, event_id, event_type, value, c
 ev AS (
   SELECT run_id, ts, event_id, k,
     CASE event_type WHEN 'click' THEN 'reply-delta' WHEN 'view' THEN 'thinking-delta' WHEN 'error' THEN 'thinking-end' WHEN 'signup' THEN 'reply-complete' ELSE CASE WHEN event_id % 2 = 0 THEN 'tool-update' ELSE 'tool-end' END END AS kind,
-    CASE event_type WHEN 'click' THEN 'c' || k || ' ' WHEN 'view' THEN 'v' || k || ' ' WHEN 'error' THEN '' WHEN 'signup' THEN 's' || event_id ELSE CASE WHEN event_id % 2 = 0 THEN left('{ALPHABET}', 1 + k % 26) ELSE '' END END AS text,
+    CASE event_type WHEN 'click' THEN 'c' || k || ' ' WHEN 'view' THEN CASE WHEN k % 9 = 0 THEN chr(10) || chr(9) ELSE 'v' || k || ' ' END WHEN 'error' THEN '' WHEN 'signup' THEN 's' || event_id ELSE CASE WHEN event_id % 2 = 0 THEN left('{ALPHABET}', 1 + k % 26) || CASE WHEN k % 5 = 0 THEN chr(10) || chr(10) ELSE '' END ELSE '' END END AS text,
     CASE WHEN event_type NOT IN ('click', 'view', 'error', 'signup') AND event_id % 2 = 1 THEN 'bash' ELSE '' END AS tool_name,
     CASE WHEN event_type NOT IN ('click', 'view', 'error', 'signup') AND event_id % 2 = 0 THEN 't' || (k % 3) ELSE '' END AS call_id,
     event_type NOT IN ('click', 'view', 'error', 'signup') AND event_id % 2 = 1 AND k % 2 = 0 AS is_error
@@ -61,7 +63,7 @@ def delegate_events(spark, sf_dir):
     return events(spark, sf_dir).select("run_id", "event_id", "kind", "text", "tool_name", "call_id", "is_error")
 
 
-@query(f"{EV} SELECT run_id, event_id, CASE kind WHEN 'tool-update' THEN text WHEN 'tool-end' THEN '[done] bash' || CASE WHEN is_error THEN ' (error)' ELSE '' END ELSE '[thinking] ' || text END AS line FROM ev WHERE kind IN ('tool-update', 'tool-end', 'thinking-delta')")
+@query(f"{EV} SELECT run_id, event_id, CASE kind WHEN 'tool-update' THEN CASE WHEN right(text, 1) = chr(10) THEN left(text, length(text) - 1) ELSE text END WHEN 'tool-end' THEN '[done] bash' || CASE WHEN is_error THEN ' (error)' ELSE '' END ELSE '[thinking] ' || text END AS line FROM ev WHERE kind IN ('tool-update', 'tool-end', 'thinking-delta')")
 def activity_lines(spark, sf_dir):
     rows = events(spark, sf_dir)
     return rows.select("run_id", "event_id", E.activity(rows).alias("line")).where("line is not null")
@@ -72,7 +74,7 @@ def tool_output_delta(spark, sf_dir):
     return E.tool_deltas(events(spark, sf_dir)).select("run_id", "event_id", "delta")
 
 
-@query(f"{EV}, s AS (SELECT *, sum(CASE WHEN kind <> 'thinking-delta' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS segment FROM ev) SELECT run_id, CAST(segment AS BIGINT) AS segment, trim(string_agg(text, '' ORDER BY ts, event_id)) AS thinking FROM s WHERE kind = 'thinking-delta' GROUP BY run_id, segment")
+@query(f"{EV}, s AS (SELECT *, sum(CASE WHEN kind <> 'thinking-delta' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS segment FROM ev) SELECT * FROM (SELECT run_id, CAST(segment AS BIGINT) AS segment, trim(string_agg(text, '' ORDER BY ts, event_id), '{TRIMMED}') AS thinking FROM s WHERE kind = 'thinking-delta' GROUP BY run_id, segment) x WHERE thinking <> ''")
 def thinking_segments(spark, sf_dir):
     return E.thinking_segments(events(spark, sf_dir))
 
@@ -150,6 +152,13 @@ def throttled(rows, seconds: int):
     return rows.select("run_id", "event_id", F.unix_micros("ts").alias("us")).groupBy("run_id").applyInPandas(fire, "run_id long, event_id long, us long")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS run_id, event_id, epoch_us(ts) AS us FROM events),
+fired AS (
+  SELECT run_id, arg_min(event_id, struct_pack(a := us, b := event_id)) AS event_id, min(us) AS us FROM e GROUP BY run_id
+  UNION ALL
+  SELECT f.run_id, arg_min(e.event_id, struct_pack(a := e.us, b := e.event_id)), min(e.us) FROM fired f JOIN e ON e.run_id = f.run_id AND e.us >= f.us + 864000000000 GROUP BY f.run_id
+)
+SELECT run_id, event_id, us FROM fired""")
 def throttle(spark, sf_dir):
-    return throttled(base(spark, sf_dir), 180)
+    """No sooner than ten days after the last that fired."""
+    return throttled(base(spark, sf_dir), 864_000)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..operators import archive as A
 from ..operators import messages as M
+from ..functions.text import TRIMMED
 from ..registry import query
 from ..sources.sessions import ENTRIES, merge_live
 
@@ -22,7 +23,9 @@ def _json(text):
 
 def entries(spark, sf_dir):
     """(session_id, seq, type, id, content, message), the last two as JSON text."""
-    rows = model.read(spark, sf_dir, "conversations").withColumn("j", _json("coalesce(text, '')"))
+    # every sixth turn after the third says nothing but white space, which drops an assistant's
+    said = "CASE WHEN turn % 6 = 3 THEN '\\n\\t ' ELSE coalesce(text, '') END"
+    rows = model.read(spark, sf_dir, "conversations").withColumn("j", _json(said))
     calls = F.when(F.col("role") == "assistant", F.col("turn") % 3).otherwise(0)
     content = (
         F.when(calls == 1, F.concat(F.lit('[{"type":"text","text":'), "j", F.lit('},{"type":"toolCall","id":"c0","name":"bash","arguments":{"command":"ls"}}]')))
@@ -42,12 +45,12 @@ def entries(spark, sf_dir):
     return said.unionByName(results)
 
 
-ENTRIES_SQL = """
-raw AS (SELECT conv_id AS session_id, turn, conv_id || '-' || turn AS id, role, coalesce(text, '') AS text, CASE WHEN role = 'assistant' THEN turn % 3 ELSE 0 END AS calls FROM conversations),
+ENTRIES_SQL = f"""
+raw AS (SELECT conv_id AS session_id, turn, conv_id || '-' || turn AS id, role, CASE WHEN turn % 6 = 3 THEN chr(10) || chr(9) || ' ' ELSE coalesce(text, '') END AS text, CASE WHEN role = 'assistant' THEN turn % 3 ELSE 0 END AS calls FROM conversations),
 pc AS (
   SELECT session_id, 2 * turn AS seq, id, 'user' AS role, 'text' AS content_type, NULL AS tool_name, NULL AS tool_call_id, text FROM raw WHERE role = 'user' OR (role = 'system' AND text <> '')
-  UNION ALL SELECT session_id, 2 * turn, id, 'assistant', 'text', NULL, NULL, text FROM raw WHERE role = 'assistant' AND calls = 0 AND trim(text) <> ''
-  UNION ALL SELECT session_id, 2 * turn, id, 'assistant', 'tool-call', 'bash', 'c0', text || CASE WHEN text <> '' THEN chr(10) ELSE '' END || '{"command":"ls"}' FROM raw WHERE calls = 1
+  UNION ALL SELECT session_id, 2 * turn, id, 'assistant', 'text', NULL, NULL, text FROM raw WHERE role = 'assistant' AND calls = 0 AND trim(text, '{TRIMMED}') <> ''
+  UNION ALL SELECT session_id, 2 * turn, id, 'assistant', 'tool-call', 'bash', 'c0', text || CASE WHEN text <> '' THEN chr(10) ELSE '' END || '{{"command":"ls"}}' FROM raw WHERE calls = 1
   UNION ALL SELECT session_id, 2 * turn, id || '#c1', 'assistant', 'tool-call', 'read', 'c1', 'a.txt' FROM raw WHERE calls = 2
   UNION ALL SELECT session_id, 2 * turn, id || '#c2', 'assistant', 'tool-call', 'grep', 'c2', text FROM raw WHERE calls = 2
   UNION ALL SELECT session_id, 2 * turn + 1, id || '-r', 'tool', 'tool-result', 'bash', 'c0', 'out ' || turn FROM raw WHERE calls = 1
@@ -66,8 +69,8 @@ def split_tool_calls(spark, sf_dir):
     return M.to_core(entries(spark, sf_dir)).where(F.col("id").contains("#")).select("session_id", "id", "tool_name", "text")
 
 
-@query(f"""WITH {model.SQL}, r AS (SELECT *, 'm' || lpad(CAST(row_number() OVER (PARTITION BY session_id ORDER BY seq, id) AS VARCHAR), 5, '0') AS ref FROM core)
-SELECT session_id, id, CASE WHEN role = 'assistant' THEN text ELSE '[' || ref || '] ' || text END AS tagged FROM r""")
+@query(f"""WITH {model.SQL}, r AS (SELECT *, printf('m%05d', row_number() OVER (PARTITION BY session_id ORDER BY seq, id)) AS ref FROM core)
+SELECT session_id, id, CASE WHEN role = 'assistant' THEN text WHEN body = '' THEN '[' || ref || ']' ELSE body || chr(10) || chr(10) || '[' || ref || ']' END AS tagged FROM (SELECT *, regexp_replace(text, '\\n+\\z', '') AS body FROM r) t""")
 def tag_messages(spark, sf_dir):
     return M.tag(M.assign_refs(model.core(spark, sf_dir))).select("session_id", "id", "tagged")
 
@@ -99,7 +102,7 @@ def call_result_pairs(spark, sf_dir):
 
 
 @query(f"""WITH {model.SQL}, p AS (
-  SELECT session_id, seq, CASE WHEN role = 'user' THEN '¶user:' ELSE '¶ai:' END AS scope, text FROM core WHERE (role = 'user' AND text <> '') OR (role = 'assistant' AND trim(text) <> '')
+  SELECT session_id, seq, CASE WHEN role = 'user' THEN '¶user:' ELSE '¶ai:' END AS scope, text FROM core WHERE (role = 'user' AND text <> '') OR (role = 'assistant' AND trim(text, '{TRIMMED}') <> '')
 ), q AS (SELECT *, lag(scope) OVER o AS b, lag(text) OVER o AS bt FROM p WINDOW o AS (PARTITION BY session_id ORDER BY seq))
 SELECT session_id, string_agg(CASE WHEN b IS NULL THEN scope || text WHEN b = scope THEN CASE WHEN right(bt, 1) = chr(10) OR left(text, 1) = chr(10) THEN '' ELSE chr(10) END || text ELSE chr(10) || chr(10) || scope || text END, '' ORDER BY seq) AS transcript
 FROM q GROUP BY session_id""")
@@ -115,10 +118,11 @@ def scan_session_log(spark, sf_dir):
     return literal_entries(spark).select("seq", "type", "id")
 
 
-@query()
+@query(f"""WITH {model.SQL} SELECT session_id, seq, CASE WHEN seq % 3 = 2 THEN 'live-' || (row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1) ELSE id END AS id, role, seq % 3 = 2 AS live FROM core""")
 def merge_live_tail(spark, sf_dir):
     """Live messages, aligned in order with the persisted ones of the same role and content; every
-    third message of a session is only live."""
+    third message of a session is only live. Contents differ within a session here, so that each
+    persisted message is met in its turn."""
     rows = model.core(spark, sf_dir)
     content = F.concat(F.lit('{"content":"'), F.sha2("text", 256), F.lit('"}'))
     live = rows.select("session_id", "seq", "role", content.alias("content"))

@@ -25,7 +25,7 @@ def truncate_head_tail(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.truncate_head_tail("text").alias("shown"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE left(text, 79) || '…' END AS shown, CASE WHEN length(t) <= 48 THEN t ELSE left(t, 47) || '…' END AS line FROM (SELECT doc_id, text, trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g')) AS t FROM documents) d")
+@query(f"SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE left(text, 79) || '…' END AS shown, CASE WHEN length(t) <= 48 THEN t ELSE left(t, 47) || '…' END AS line FROM (SELECT doc_id, text, trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), '{X.TRIMMED}') AS t FROM documents) d")
 def truncate_ellipsis(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.truncate_ellipsis("text", 80).alias("shown"), X.one_line("text").alias("line"))
 
@@ -107,14 +107,25 @@ def strip_ansi(spark, sf_dir):
 _EVERY = rf"[{X.BLANKS}\p{{Cf}}]*"
 
 
-@query(rf"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{_EVERY}[{X.BREAKS}]{_EVERY}', '█', 'g'), '{_EVERY}[{X.BLANKS}]{_EVERY}', ' ', 'g'), '\p{{Cf}}+', '', 'g'), '^[ █]+|[ █]+$', '', 'g') AS line FROM documents")
+def folded_sql(text: str) -> str:
+    """Runs of white space as one glyph or space, the edges trimmed; all that folding does to Latin-1."""
+    out = f"regexp_replace({text}, '{_EVERY}[{X.BREAKS}]{_EVERY}', '█', 'g')"
+    out = rf"regexp_replace(regexp_replace({out}, '{_EVERY}[{X.BLANKS}]{_EVERY}', ' ', 'g'), '\p{{Cf}}+', '', 'g')"
+    return f"regexp_replace({out}, '^[ █]+|[ █]+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, {folded_sql('text')} AS line FROM documents")
 def collapse_ws(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.collapse_blanks("text").alias("line"))
 
 
-@query()
+_LIGHT = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+_MARKED = f"CASE WHEN list_contains([{_LIGHT}], lower(w)) THEN chr(14) || w || chr(15) ELSE w END"
+
+
+@query(f"SELECT doc_id, list_aggregate(list_transform(regexp_extract_all(text, '[{X.LETTERS}]+|[^{X.LETTERS}]+'), lambda w: {_MARKED}), 'string_agg', '') AS dimmed FROM documents WHERE text <> ''")
 def dim_stopwords(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", X.dim_stopwords("text").alias("dimmed"))
+    return docs(spark, sf_dir).where("text <> ''").select("doc_id", X.dim_stopwords("text").alias("dimmed"))
 
 
 @query(f"SELECT doc_id, CAST(2 * length(text) - length(regexp_replace(text, '{X.WIDE}', '', 'g')) AS BIGINT) AS cells FROM documents")
@@ -122,7 +133,7 @@ def cell_width(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.cell_width("text").alias("cells"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace('[m' || doc_id % 100000 || '] ' || text, '^(?:<acp\s[^>]*>m[0-9]{5}</acp>|\[m[0-9]{1,5}\])\s?\n?', ''), '^(?:<acp\s[^>]*>m[0-9]{5}</acp>|\[m[0-9]{1,5}\])\s?\n?', '') AS text FROM documents")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace('[m' || doc_id % 100000 || '] ' || text, '^(?:<acp\s[^>]*>m[0-9]{5,}</acp>|\[m[0-9]+\])\s?\n?', ''), '^(?:<acp\s[^>]*>m[0-9]{5,}</acp>|\[m[0-9]+\])\s?\n?', '') AS text FROM documents")
 def strip_ref_tags(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.strip_ref_tag(X.strip_ref_tag(F.concat(F.lit("[m"), F.col("doc_id") % 100000, F.lit("] "), "text"))).alias("text"))
 
@@ -200,14 +211,14 @@ def page_chars(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.least(X.cell_width("text", wide=False), F.lit(CAPACITY)).cast("long").alias("shown"))
 
 
-@query(rf"SELECT doc_id, CAST(length(replace(line, '█', '')) AS BIGINT) AS graphic, CAST(0 AS BIGINT) AS lost, true AS safe FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{_EVERY}[{X.BREAKS}]{_EVERY}', '█', 'g'), '{_EVERY}[{X.BLANKS}]{_EVERY}', ' ', 'g'), '\p{{Cf}}+', '', 'g'), '^[ █]+|[ █]+$', '', 'g') AS line FROM documents) d")
+@query(f"SELECT doc_id, CAST(length(replace(line, '█', '')) AS BIGINT) AS graphic, CAST(0 AS BIGINT) AS lost, true AS safe FROM (SELECT doc_id, {folded_sql('text')} AS line FROM documents) d")
 def renderability(spark, sf_dir):
     """Exact in SQL for Latin-1 texts, where nothing is lost."""
     r = docs(spark, sf_dir).select("doc_id", L.folded(F.col("text")).alias("r"))
     return r.select("doc_id", "r.graphic", "r.lost", (F.col("r.lost") <= 0.05 * F.col("r.graphic")).alias("safe"))
 
 
-@query()
+@query(f"SELECT doc_id, {folded_sql('text')} AS text FROM documents")
 def normalize_text(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", L.folded(F.col("text"))["text"].alias("text"))
 
@@ -229,6 +240,9 @@ def page_dim_state(spark, sf_dir):
     return pages.select("doc_id", F.posexplode("pages").alias("page", "text")).select("doc_id", "page", F.col("text").startswith(X.DIM_ON).alias("opens_dim"))
 
 
-@query()
+@query(f"""SELECT doc_id, CASE WHEN wide >= 8 AND wide >= 0.25 * length(replace(replace(line, '█', ''), ' ', '')) THEN 'silver16-bw' ELSE '8on22-bw' END AS shape
+FROM (SELECT doc_id, doc_id % 60 AS wide, {folded_sql("left(text, 150) || repeat('漢', doc_id % 60)")} AS line FROM documents) d""")
 def shape_for_text(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", L.shape_for(F.col("text"), "8on22-bw").alias("shape"))
+    """Heads of texts with up to 59 ideographs after them."""
+    text = F.concat(F.substring("text", 1, 150), F.expr("repeat('漢', cast(doc_id % 60 as int))"))
+    return docs(spark, sf_dir).select("doc_id", L.shape_for(text, "8on22-bw").alias("shape"))

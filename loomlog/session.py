@@ -43,8 +43,19 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, one of this
+    machine, but only if the session is on this machine alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("loomlog.local.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="loomlog-")
+        spark.conf.set("loomlog.local.dir", base)
+    return base.rstrip("/")
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path that all executors share: below ``spark.checkpoint.dir``, or a local folder where
     that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomlog-")
-    return f"{base.rstrip('/')}/loomlog-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/loomlog-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"

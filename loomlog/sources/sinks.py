@@ -40,17 +40,21 @@ def append_log(lines: DataFrame, path: str, day: str = "day") -> None:
 
 
 def restore_to_files(texts: DataFrame, path: str) -> None:
-    """Write restored texts, a folder for each reference."""
-    texts.select(F.col("ref"), F.col("text").alias("value")).write.mode("overwrite").partitionBy("ref").text(path)
+    """Write restored texts (ref, text), one JSON line each, with their references; files are as many as
+    there are partitions, however many texts there are."""
+    texts.select("ref", "text").write.mode("overwrite").json(path)
 
 
 def split_outputs(events: DataFrame, reply_path: str, activity_path: str) -> None:
-    """One stream of events, two outputs: replies and activity."""
+    """One table of events, two outputs: replies and activity, as JSON lines with their run and their
+    place in it. A run's lines are in one file, in order; many runs share a file."""
     from ..operators.events import activity
 
-    events.where("kind in ('reply-delta', 'reply-complete')").select("run_id", "text").write.mode("append").partitionBy("run_id").text(reply_path)
-    lines = events.select("run_id", activity(events).alias("line")).where("line is not null")
-    lines.write.mode("append").partitionBy("run_id").text(activity_path)
+    place = ["run_id", "ts", "event_id"]
+    replies = events.where("kind in ('reply-delta', 'reply-complete')").select(*place, "kind", "text")
+    lines = events.select(*place, activity(events).alias("line")).where("line is not null")
+    for rows, path in ((replies, reply_path), (lines, activity_path)):
+        rows.repartition("run_id").sortWithinPartitions(*place).write.mode("append").json(path)
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:

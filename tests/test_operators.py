@@ -5,6 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from loomlog import model
+from loomlog.functions import layout as L
+from loomlog.functions import text as X
 from loomlog.operators import archive as A
 from loomlog.operators import blocks as B
 from loomlog.operators import events as E
@@ -42,7 +44,7 @@ def test_projection_of_every_kind(spark):
         {"role": "user", "content": [text("a"), {"type": "image"}, text("b")]},
         {"role": "assistant", "content": "{not json"},
         {"role": "assistant", "content": [{"type": "thinking", "thinking": "hm"}]},
-        {"role": "assistant", "content": "  "},
+        {"role": "assistant", "content": " \n\t\u00a0"},
         {"role": "assistant", "content": [text("go"), call("c1", "bash", {"command": "ls"})]},
         {"role": "assistant", "content": [text("two"), call("c2", "read", "f.txt"), call("c3", "grep")]},
         {"role": "toolResult", "toolCallId": "c1", "toolName": "bash", "content": [text("out")]},
@@ -89,9 +91,21 @@ def test_tags_bodies_and_peeling(spark):
     r = df.select(
         M.tag_parts(F.col("parts"), F.lit("m00001"), F.lit("a\nb  ")).alias("same"), M.tag_parts(F.col("parts"), F.lit("m00001"), F.lit("new")).alias("new")
     ).first()
-    assert [p.text for p in r.same] == ["a", None, "[m00001] b"] and [(p.type, p.text) for p in r.new] == [("image", None), ("text", "[m00001] new")]
+    assert [p.text for p in r.same] == ["a", None, "b\n\n[m00001]"] and [(p.type, p.text) for p in r.new] == [("image", None), ("text", "new\n\n[m00001]")]
     df = parts_of(spark, entries(spark, {"role": "user", "content": [text("[m00001]"), text("[m2] x"), text("")]}))
-    assert [p.text for p in df.select(M.peel_parts(F.col("parts")).alias("p")).first().p] == ["x", ""]
+    assert [p.text for p in df.select(M.peel_parts(F.col("parts")).alias("p")).first().p] == ["x"]
+    # old tags give way, trailing line feeds too; a message without text gets a part for its tag
+    tagged = lambda *parts: [p.text for p in parts_of(spark, entries(spark, {"role": "user", "content": list(parts)})).select(M.tag_parts(F.col("parts"), F.lit("m00007"), F.lit("")).alias("p")).first().p]
+    assert tagged(text("[m00003]\nx\n\n"), {"type": "image"}) == ["x\n\n[m00007]", None] and tagged({"type": "image"}) == [None, "[m00007]"] and tagged(text("[m00003]")) == ["[m00007]"]
+
+
+def test_references_stay_apart_beyond_five_digits(spark):
+    rows = spark.range(100_002).select(F.lit(1).alias("session_id"), F.format_string("%09d", "id").alias("id"), F.col("id").alias("seq"))
+    refs = M.assign_refs(rows)
+    assert refs.select("ref").distinct().count() == 100_002
+    assert [r.ref for r in refs.where("seq in (0, 9998, 99998, 100000)").orderBy("seq").collect()] == ["m00001", "m09999", "m99999", "m100001"]
+    both = spark.createDataFrame([("[m100001] a",), ("<acp x>m123456</acp>\nb",)], "t string").select(X.strip_ref_tag("t").alias("t")).collect()
+    assert [r.t for r in both] == ["a", "b"]
 
 
 def messages(spark, *rows):
@@ -103,14 +117,16 @@ def plain(role, t):
 
 
 def blocks(spark, *rows):
-    cols = "session_id long, block_id string, pos long, tier long, topic string, summary string, lo long, hi long, compressed_tokens long, created_at long, active boolean"
-    return spark.createDataFrame([(1, f"b{i + 1}", i, *r) for i, r in enumerate(rows)], cols)
+    """Blocks of the messages ``lo`` to ``hi`` of :func:`messages`, but for those named last in a row."""
+    cols = "session_id long, block_id string, pos long, tier long, topic string, summary string, lo long, hi long, compressed_tokens long, created_at long, active boolean, member_ids array<string>, inner_ids array<string>"
+    ids = lambda r: [f"i{n}" for n in range(r[3], r[4] + 1) if n not in r[8:]]
+    return spark.createDataFrame([(1, f"b{i + 1}", i, *r[:8], ids(r), []) for i, r in enumerate(rows)], cols)
 
 
 def test_tokens_in_view_and_null_tool_names(spark):
     m = messages(spark, plain("user", "a" * 8), ("tool", "tool-result", "compress", "c", "x" * 400), plain("assistant", "漢字"), ("tool", "tool-result", None, "d", "y" * 4))
     b = blocks(spark, (1, None, "s", 0, 0, 2, 0, True), (1, None, "s", 2, 2, 2, 1, None))
-    members = model.members(m, b)
+    members = model.members(b)
     assert [tuple(r) for r in B.uncovered_tokens(m, members).collect()] == [(1, 3)]
     assert B.covered(m, members).count() == 2 and B.uncovered(m, members).count() == 3
 
@@ -138,7 +154,7 @@ def test_transcripts(spark):
     m = messages(
         spark, plain("user", "a"), plain("user", "b"), plain("assistant", "c\n"), plain("assistant", "d"), ("assistant", "reasoning", None, None, "why"),
         ("assistant", "tool-call", "bash", "c1", "ls"), ("tool", "tool-result", "bash", "c1", "old"), ("tool", "tool-result", "bash", "c1", f"n{on}ew"),
-        ("tool", "tool-result", "bash", "late", "early"), ("assistant", "tool-call", None, "late", "x"), ("assistant", "tool-call", "t", "none", "y"), plain("assistant", " "),
+        ("tool", "tool-result", "bash", "late", "early"), ("assistant", "tool-call", None, "late", "x"), ("assistant", "tool-call", "t", "none", "y"), plain("assistant", " \n"),
     )
     out = lambda t: f"<out>\n{on}{t}{off}\n</out>"
     want = f"¶user:a\nb\n\n¶ai:c\nd\n\n¶think:why\n\n¶call:bash(ls)\n{out('new')}\n{out('early')}\ntool(x)\n{out('early')}\nt(y)"
@@ -158,10 +174,66 @@ def test_frames_cap_and_garbage(spark):
     assert [r.batch for r in live.collect()] == [1] and A.collect_garbage(live, b).count() == 1
     dead = b.withColumn("active", F.lit(False))
     assert A.collect_garbage(batches, dead).count() == 0 and A.attachment(A.cap_frames(A.frames_of_batches(A.collect_garbage(batches, dead), frames))).count() == 0
+    there = spark.createDataFrame([("x/s3.png",)], "path string")
+    assert [(r.n_frames, r.shas) for r in A.attachment(kept, there).collect()] == [(2, ["s3"])]
+    assert A.attachment(kept, there.limit(0)).count() == 0
     archived = spark.createDataFrame([(1, "b1"), (1, "b2")], "session_id long, block_id string")
     assert [r.block_id for r in A.lost_blocks(archived, live).collect()] == ["b1"]
 
 
+def test_pages_of_archives(spark):
+    """Folding, wide cells, columns and dim words, page by page."""
+    grid = L.Grid(4, 2)
+    texts = spark.createDataFrame([(1, "a漢b漢c\n“d”ef"), (2, "abcdefghij"), (3, " \n"), (4, "ab\n\ncd")], "session_id long, archive string")
+    got = {}
+    for r in A.to_frames(texts, grid, 7).orderBy("page").collect():
+        got.setdefault(r.session_id, []).append(r.body)
+    # a wide character doesn't straddle the end of a line: of the first page's cells one stays free
+    assert got == {1: ["a漢b漢c█", '"d"ef'], 2: ["abcdefgh", "ij"], 4: ["ab█cd"]}
+    assert L.page_text("a漢b", L.Grid(2, 1, wide=False, font="silver")) == ["a漢", "b"]
+    columns = L.Grid(5, 1, columns=2, dim=True)
+    assert L.page_text("see the cat and dog", columns) == [f"see\n{X.DIM_ON}the{X.DIM_OFF}", f"cat\n{X.DIM_ON}and{X.DIM_OFF}", "dog"]
+    assert L.page_text(f"one {X.DIM_ON}two three{X.DIM_OFF} the", columns) == [f"one\n{X.DIM_ON}two", f"{X.DIM_ON}three{X.DIM_OFF}\n{X.DIM_ON}the{X.DIM_OFF}"]
+    assert L.grid_of("doc-8on16-sent-dim") == L.Grid(96, 98, 2, True, True, "8x13") and L.grid_of("silver16-bw").capacity == 9604 and L.grid_of("8on22-bw", 2048).capacity == 23808
+
+
+def test_shapes_by_text():
+    narrow = lambda font: (lambda c: font == "silver" and L.is_wide(c))
+    # unsafe in the ideal font: silver, if that can draw it
+    assert L.choose_shape("漢" + "a" * 15, "8on22-bw", drawable=narrow) == "silver16-bw" and L.choose_shape("漢" + "a" * 15, "8on22-bw") == "8on22-bw"
+    assert L.choose_shape("Ж" * 5 + "a" * 15, "8on22-bw", drawable=narrow) == "8on22-bw"
+    # safe, but mostly wide
+    assert L.choose_shape("漢" * 8 + "a" * 24, "8on22-bw") == "silver16-bw" and L.choose_shape("漢" * 7, "8on22-bw") == "8on22-bw"
+    assert L.choose_shape("漢" * 8 + "a" * 25, "8on22-bw") == "8on22-bw" and L.choose_shape("漢" * 9, "8on22-bw", fixed=True) == "8on22-bw"
+
+
+def test_split_outputs_and_restored_files(spark, tmp_path):
+    rows = [("r1", i, "tool-update" if i % 2 else "reply-delta", f"{i}") for i in range(40)] + [("r2", 0, "reply-complete", "x")]
+    ev = spark.createDataFrame(rows, "run_id string, event_id long, kind string, text string").withColumn("ts", F.timestamp_seconds(F.lit(0)))
+    for name in ("tool_name", "max_attempts", "attempt", "delay_ms"):
+        ev = ev.withColumn(name, F.lit(""))
+    ev = ev.withColumns({"is_error": F.lit(False), "success": F.lit(False)}).repartition(5)
+    sinks.split_outputs(ev, str(tmp_path / "replies"), str(tmp_path / "activity"))
+    files = [f for f in (tmp_path / "activity").glob("*.json") if f.stat().st_size]
+    lines = [json.loads(x)["line"] for x in files[0].read_text().splitlines()]
+    assert len(files) == 1 and lines == [f"{i}" for i in range(1, 40, 2)]
+    assert spark.read.json(str(tmp_path / "replies")).count() == 21
+    sinks.restore_to_files(spark.createDataFrame([("b1", "a\nb"), ("b2", "c")], "ref string, text string"), str(tmp_path / "out"))
+    assert {r.ref: r.text for r in spark.read.json(str(tmp_path / "out")).collect()} == {"b1": "a\nb", "b2": "c"}
+
+
+def test_shared_folders_are_asked_for(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from loomlog import session
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=SimpleNamespace(master="spark://x:7077"))
+    with pytest.raises(ValueError):
+        session.shared_dir(unset)
+
+
 def test_store_and_states(spark, tmp_path):
     one = spark.createDataFrame([("s1", 1, 1, "x"), ("s1", 1, 1, "x")], "sha string, bytes long, tokens long, body string")
     path = str(tmp_path / "frames")
@@ -199,7 +271,7 @@ def test_live_tail_alignment(spark):
 def test_compress_promote_restore(spark):
     m = messages(spark, *[plain("user" if i % 2 == 0 else "assistant", "t" * 100) for i in range(8)])
     b = blocks(spark, (1, None, "s", 0, 1, 50, 0, True), (2, None, "s", 2, 3, 50, 1, True))
-    members = model.members(m, b)
+    members = model.members(b)
     ranges = spark.createDataFrame([(1, 0, 5, True, "t", "new"), (1, 6, 7, False, "t", "short"), (1, 90, 99, False, "t", "none")], "session_id long, lo long, hi long, by_blocks boolean, topic string, summary string")
     made = H.compress_ranges(ranges, m.withColumn("protected", F.col("seq") == 4), b, members, 300)
     out = {r.lo: r for r in made.collect()}
@@ -207,26 +279,59 @@ def test_compress_promote_restore(spark):
     assert out[6].error == "range too short" and out[6].after == 100 and out[90].error == "empty range"
     new = {r.block_id: r for r in H.apply_compression(b, made).collect()}
     assert not new["b1"].active and not new["b2"].active and new["b3"].active and new["b3"].tier == 3 and len(new) == 3
-    restored = H.restore_blocks(spark.createDataFrame([(1, "b2")], "session_id long, block_id string"), members, m).first()
-    assert restored.n == 2 and restored.mode == "inline" and restored.text.startswith("user: ttt")
+    after = H.apply_compression(b, made)
+    # the protected message was in a block before, which went over to the new one
+    assert new["b3"].member_ids == ["i0", "i1", "i2", "i3", "i5"] and new["b3"].inner_ids == ["b1", "b2"]
+    assert sorted(r.id for r in B.uncovered(m, model.members(after)).collect()) == ["i4", "i6", "i7"]
+    wanted = spark.createDataFrame([(1, "b2", None, None), (1, "b3", True, None), (1, "b1", True, "/tmp/x")], "session_id long, block_id string, inline boolean, to_file string")
+    restored = {r.block_id: r for r in H.restore_blocks(wanted, after, m).collect()}
+    assert restored["b2"].n == 2 and restored["b2"].text.startswith("user: ttt")
+    assert {k: r.mode for k, r in restored.items()} == {"b2": "file", "b3": "inline", "b1": "file"}
+    assert restored["b3"].n == 3 and restored["b3"].text.startswith("[block b1 t1] s\n\n[block b2 t2] s\n\nassistant: ttt")
+    full = {r.block_id: r for r in H.restore_blocks(wanted, after, m, full=True).collect()}
+    assert full["b3"].n == 5 and "block" not in full["b3"].text
+    refs = M.assign_refs(m.withColumn("text", F.when(F.col("seq") == 7, F.repeat(F.lit("t"), 2000)).otherwise(F.col("text"))))
+    asked = spark.createDataFrame([(1, "m00001", None, None), (1, "m00002", False, None), (1, "m00003", True, "f"), (1, "m00008", True, None)], "session_id long, ref string, inline boolean, to_file string")
+    assert {r.ref: r.mode for r in H.restore_messages(asked, refs).collect()} == {"m00001": "inline", "m00002": "file", "m00003": "file", "m00008": "file"}
     inner = spark.createDataFrame([(1, "b3", "b2"), (1, "b2", "b1")], "session_id long, block_id string, inner_id string")
     assert {r.block_id for r in H.nested_blocks(spark.createDataFrame([(1, "b3")], "session_id long, block_id string"), inner).collect()} == {"b1", "b2", "b3"}
+    chain = spark.createDataFrame([(1, f"b{i}", f"b{i - 1}") for i in range(2, 8)] + [(1, "b1", "b7")], inner.schema)  # deeper than there are tiers, and round
+    assert {r.block_id for r in H.nested_blocks(spark.createDataFrame([(1, "b6")], "session_id long, block_id string"), chain).collect()} == {f"b{i}" for i in range(1, 8)}
+
+
+def test_protected_messages_stay_in_view(spark):
+    m = messages(spark, *[plain("user", "t" * 100)] * 30)
+    none = blocks(spark, (1, None, "s", 0, 0, 0, 0, False)).limit(0)
+    rows = m.withColumn("protected", F.col("seq").isin(3, 27, 28, 29))
+    ranges = spark.createDataFrame([(1, 0, 29, False, "t", "s")], "session_id long, lo long, hi long, by_blocks boolean, topic string, summary string")
+    made = H.compress_ranges(ranges, rows, none, model.members(none), 0)
+    assert made.first().n_protected == 4
+    assert sorted(r.seq for r in B.uncovered(m, model.members(H.apply_compression(none, made))).collect()) == [3, 27, 28, 29]
 
 
 def test_turn_and_emergency(spark):
     m = messages(spark, *[plain("user", "t" * 100)] * 4, ("tool", "tool-result", "read", "c", "o" * 3000))
     b = blocks(spark, (1, None, "s", 0, 0, 25, 0, True))
-    t = run_turn(m, b, model.members(m, b), 1000, 1, 10)
+    t = run_turn(m, b, model.members(b), 1000, 1, 10)
     n = t["nudges"].first()
     assert n.emergency and n.should_nudge and n.n_visible == 4 and (n.top_lo, n.top_hi) == (4, 4)
-    cut = truncate_in_emergency(t["visible"], t["nudges"]).where("role = 'tool'").first().text
-    assert "elided" in cut and len(cut) < 2100
+    cut = t["visible"].where("role = 'tool'").first()
+    assert "elided" in cut.text and len(cut.text) < 2100 and cut.tagged == f"{cut.text}\n\n[m00005]"
+    assert truncate_in_emergency(m, t["nudges"].withColumn("emergency", F.lit(False))).where("text like '%elided%'").count() == 0
+    # an emergency nudges again and again, others once for each last user message
+    assert n.inject and n.turn_key == "i3" and t["shown"].count() == 0
+    calm = run_turn(m, b, model.members(b), 1500, 1, 10)
+    assert not calm["nudges"].first().emergency and calm["nudges"].first().inject and [tuple(r) for r in calm["shown"].collect()] == [(1, "i3")]
+    again = run_turn(m, b, model.members(b), 1500, 1, 10, shown=calm["shown"])
+    assert again["nudges"].first().should_nudge and not again["nudges"].first().inject and again["shown"].count() == 1
+    hidden = spark.createDataFrame([(1, "c"), (1, "i2")], "session_id long, call_id string")
+    assert sorted(r.seq for r in run_turn(m, b, model.members(b), 1500, 1, 10, hidden_calls=hidden)["visible"].collect()) == [1, 3]
 
 
 def test_search_ranks(spark):
     m = messages(spark, plain("user", "apple apple pear"), plain("assistant", "pear"), plain("user", "x"), plain("user", "apple in view"))
     b = blocks(spark, (1, "fruit", "apple", 0, 2, 5, 0, False))
-    docs = S.search_docs(m, b, model.members(m, b))
+    docs = S.search_docs(m, b, model.members(b))
     assert {(r.kind, r.ref) for r in docs.collect()} == {("block", "b1"), ("message", "m00001"), ("message", "m00002")}
     top = S.top_k(S.bm25(docs, ["apple"]), 1).collect()
     assert len(top) == 1 and top[0].ref == "m00001" and top[0].score == round(top[0].score, 6)
@@ -236,6 +341,7 @@ LINES = [
     ('{"type":"tool_execution_start","toolName":"bash","args":{"command":"ls -l"}}', "tool-start", "[tool] bash ls -l"),
     ('{"type":"tool_execution_start","toolName":"read","args":{"path":"f"}}', "tool-start", '[tool] read {"path":"f"}'),
     ('{"type":"tool_execution_update","toolCallId":"t","partialResult":{"content":[{"type":"text","text":"a"},{"type":"image"},{"type":"text","text":"b\\n"}]}}', "tool-update", "ab"),
+    ('{"type":"tool_execution_update","toolCallId":"t","partialResult":{"content":[{"type":"text","text":"a\\n\\n"}]}}', "tool-update", "a\n"),
     ('{"type":"tool_execution_end","toolName":"bash","isError":true}', "tool-end", "[done] bash (error)"),
     ('{"type":"auto_retry_start","attempt":1,"maxAttempts":3,"delayMs":50,"errorMessage":"slow"}', "retry-start", "[retry] attempt 1/3, backoff 50ms — slow"),
     ('{"type":"auto_retry_end","success":false,"attempt":2}', "retry-end", "[retry] attempt 2 failed"),
@@ -262,7 +368,7 @@ def stream_of(spark, *rows):
 def test_deltas_segments_replies(spark):
     ev = stream_of(
         spark, (0, "tool-update", "ab", "t"), (1, "tool-update", "abc", "t"), (2, "tool-update", "x", "t"), (3, "thinking-delta", " a", ""), (4, "thinking-delta", "b ", ""),
-        (5, "reply-delta", "old", ""), (6, "thinking-delta", " ", ""), (7, "reply-complete", "R", ""), (8, "reply-delta", "s", ""), (9, "thinking-delta", "z", ""),
+        (5, "reply-delta", "old", ""), (6, "thinking-delta", " \n", ""), (7, "reply-complete", "R", ""), (8, "reply-delta", "s", ""), (9, "thinking-delta", "z", ""),
     )
     assert [r.delta for r in E.tool_deltas(ev).orderBy("event_id").collect()] == ["ab", "c", "x"]
     assert [r.thinking for r in E.thinking_segments(ev).orderBy("segment").collect()] == ["ab", "z"]

@@ -121,6 +121,37 @@ def test_pages_hold_all_characters_within_capacity(text, cols, rows):
     assert "".join(L.wrap(text, cols)).replace(" ", "") == "".join(text.split())
 
 
+def brute_wrap(words, width):
+    """Every way of breaking a list of words is tried word by word: the line takes one more while it fits."""
+    lines, i = [], 0
+    words = [w[k : k + width] for w in words for k in range(0, len(w), width)] if any(len(w) > width for w in words) else words
+    while i < len(words):
+        j = i + 1
+        while j < len(words) and len(" ".join(words[i : j + 1])) <= width:
+            j += 1
+        lines.append(" ".join(words[i:j]))
+        i = j
+    return lines
+
+
+@given(st.lists(st.text(alphabet="abc", min_size=1, max_size=6), max_size=30), st.integers(6, 12), st.integers(1, 3))
+@settings(max_examples=150, deadline=None)
+def test_wrapping_and_columns_equal_brute_force(words, width, rows):
+    text = " ".join(words)
+    lines = brute_wrap(words, width)
+    assert L.wrap(text, width) == lines
+    assert L.doc_pages(text, width, rows) == ["\n".join(lines[i : i + 2 * rows]) for i in range(0, len(lines), 2 * rows)]
+    dimmed = f"{text} {X.DIM_ON}{text}"
+    open_at = [X.DIM_ON in "".join(p.replace(X.DIM_ON, "", 1) if p.startswith(X.DIM_ON) else p for p in [page]) or page.startswith(X.DIM_ON) for page in L.carry_dim(L.doc_pages(dimmed, width, rows))]
+    assert open_at == sorted(open_at)  # once open, each later page opens dim
+
+
+def test_dim_words_in_python_and_spark(spark):
+    texts = ["The cat and THE dog", f"a {X.DIM_ON}the{X.DIM_OFF} the", "thé the-the", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.dim_stopwords("t").alias("d")).collect()
+    assert {r.i: r.d for r in rows} == {i: L.dim_words(t) for i, t in enumerate(texts)}
+
+
 def test_layout_columns(spark):
     text = "word " * 100
     df = spark.createDataFrame([(text,), (None,), ("",)], "t string")
