@@ -45,3 +45,14 @@ def test_hard_rows_and_empty_tables(spark, sf_dir, hard_docs, no_docs):
     empty = no_docs.selectExpr("*", "'en' as lang", "'s' as source", "0L as n_chars")
     for _, stage in P.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_run_leaves_the_last_table_only(spark, sf_dir):
+    import pathlib
+
+    from loomlog.session import shared_dir
+
+    folder = pathlib.Path(shared_dir(spark)) / f"loomlog-{spark.sparkContext.applicationId}"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    out = P.run(spark, sf_dir)
+    assert [p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before] == ["stage-packing"] and out.count() > 0
