@@ -4,17 +4,22 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 read again as the next one's ``docs``; all but the last return the columns of ``documents``.
 Clean documents pass every filter: only toxic ones, copies, near copies and passages that stand in
 an earlier document go. Rows that share a doc_id stay or go together in the near-copy stage.
+
+Defined results: a null text counts as empty: it isn't toxic, is equal to all texts of white space alone,
+of which one row stays, is near to nothing, and is packed as its end id; rows without a doc_id pass the
+near-copy and passage stages as they are; extra columns are carried to the last stage, whatever their
+names; empty tables give empty tables. A stage's own tables are deleted when it is written, and its
+input when the next one is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import fresh_path, read_table
+from loomlog.llm.common import delete, fresh_path, read_table, scratch
 from loomlog.llm.exact_dedup import drop_exact_copies
 from loomlog.llm.minhash import near_dedup
 from loomlog.llm.packing import pack_documents
@@ -54,6 +59,8 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents into sequences of at most 2048 tokens."""
+    import public_tokenizers
+
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -72,10 +79,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``, each written and read again."""
     docs = read_table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
 
 

@@ -24,7 +24,7 @@ from .operators import status as R
 from .operators.messages import assign_refs
 from .plans import history as H
 from .plans.turn import run_turn
-from .session import shared_path
+from .session import settled
 
 
 @dataclass(frozen=True)
@@ -53,13 +53,8 @@ class History:
 
     def settled(self) -> History:
         """The same with its state tables written and read again."""
-        done = {}
-        for name in ("blocks", "batches", "frames"):
-            table = getattr(self, name)
-            if table is not None:
-                path = shared_path(table.sparkSession, f"state-{name}")
-                table.write.parquet(path)
-                done[name] = table.sparkSession.read.schema(table.schema).parquet(path)
+        tables = {name: getattr(self, name) for name in ("blocks", "batches", "frames")}
+        done = {name: settled(table, f"state-{name}") for name, table in tables.items() if table is not None}
         return replace(self, **done)
 
     def turn(self, hidden_calls: DataFrame | None = None, shown: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions.layout import Grid
 from ..operators import archive as A
-from ..operators import blocks as B
 from ..registry import query
 from .block_queries import SNAPSHOTS, tables
 from .text_queries import folded_sql

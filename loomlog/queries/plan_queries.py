@@ -14,6 +14,7 @@ from ..operators.messages import assign_refs, to_core
 from ..plans import history as H
 from ..plans.turn import run_turn
 from ..registry import query
+from ..session import settled
 from ..sources.sessions import overlay_config, resolve_limit as limit_of
 from .message_queries import ENTRIES_SQL, entries
 from .block_queries import LIMIT, PROTECTED, RANGES, UNCOVERED, WITH, tables
@@ -77,7 +78,7 @@ def promoted(spark, sf_dir):
         ranges = ranges.withColumns({"by_blocks": F.lit(True), "topic": F.lit("tier"), "summary": F.concat(F.lit("up to "), F.lit(upto))})
         blocks = H.apply_compression(blocks, H.compress_ranges(ranges, rows, blocks, model.members(blocks), 0))
         # a new block is as new as what it holds, so that the next step finds it
-        blocks = blocks.withColumn("created_at", F.when(F.size("inner_ids") > 0, 0).otherwise(F.col("created_at")))
+        blocks = settled(blocks.withColumn("created_at", F.when(F.size("inner_ids") > 0, 0).otherwise(F.col("created_at"))), "promoted")
     newest = blocks.where("size(inner_ids) > 0 and active").select("session_id", "block_id")
     return messages, blocks, newest
 

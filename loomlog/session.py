@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -59,3 +59,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path that all executors share: below ``spark.checkpoint.dir``, or a local folder where
     that is unset, as in tests."""
     return f"{shared_dir(spark)}/loomlog-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def settled(table: DataFrame, label: str) -> DataFrame:
+    """``table``, written to the shared folder and read again: state that later steps build on."""
+    path = shared_path(table.sparkSession, label)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
